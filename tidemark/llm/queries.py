@@ -30,6 +30,13 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.unionByName(planted))
 
 
+def op8_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_near_dedup
+
+    common.ship(spark)
+    return embedding_near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import sentencepiece
 
@@ -44,7 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_gif, op4_karmarkar_karp, op7_chat, op9_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_gif, op4_karmarkar_karp, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
 
 ORACLE_SQL = {
     "op7_chat": r"""
