@@ -21,6 +21,12 @@ def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import minhash_groups
+
+    return minhash_groups(common.documents(spark, sf_dir), words=3, percent=85)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_digests
 
@@ -51,7 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_gif, op4_karmarkar_karp, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_gif, op4_karmarkar_karp, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
 
 ORACLE_SQL = {
     "op7_chat": r"""
