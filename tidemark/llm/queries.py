@@ -21,6 +21,12 @@ def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import minhash_groups
 
@@ -57,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_gif, op4_karmarkar_karp, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
 
 ORACLE_SQL = {
     "op7_chat": r"""
