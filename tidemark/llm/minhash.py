@@ -5,11 +5,7 @@ set is that of its shingles of `words` words, each a 64-bit hash.  A shorter tex
 one shingle; one without words has the empty set and links with nothing.
 
 Texts with equal sets are one class.  Classes that share a band are candidates;
-what candidates reach is a candidate group.  A group of up to GROUP classes is
-compared whole in one task.  In a larger one classes are first compared with the
-least class of each of their buckets, and then all that the largest linked part
-does not hold with everything of the group, in pairs of blocks.  So no group meets
-in one task, and no link between candidates of a group is lost.
+verify.links compares all that is in reach of each other through candidates.
 
 Null texts are empty.  Repeated ids are texts of one document: they share its component.
 """
@@ -20,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, components
+from . import common, components, verify
 
-SIGNATURE, ROWS, GROUP, BLOCK, MEMO = 80, 4, 256, 256, 400_000
+SIGNATURE, ROWS, MEMO = 80, 4, 400_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -165,62 +161,18 @@ def linked(sets, others, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def _links(ids, sets, other_ids, others, percent):
-    x, y = linked(sets, others, percent)
-    if not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found, roots = components.forest(ids[x], (ids if others is None else other_ids)[y])
-    keep = found != roots
-    return found[keep], roots[keep]
+class ShingleKit:
+    """What verification needs: sets from texts, and links between sets."""
 
+    def __init__(self, words: int, percent: int):
+        self.words, self.percent = words, percent
 
-def _groups(words: int, percent: int):
-    """Over rows sorted by group: links within each group."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        group, ids, sets = None, [], []
-
-        def close():
-            got = [_links(np.array(ids, np.int64), sets, None, None, percent)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["a", "b"])
-
-        for b in batches:
-            for g, i, t in zip(b.column("grp").to_pylist(), b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if g != group:
-                    if len(ids) > 1:
-                        yield close()
-                    group, ids, sets = g, [], []
-                ids.append(i)
-                with np.errstate(over="ignore"):
-                    sets.append(shingles(t, words))
-        if len(ids) > 1:
-            yield close()
-
-    return run
-
-
-def _sides(words: int, percent: int):
-    """One group of rows: those of side 0 against those of side 1, or one side within itself."""
-
-    def run(table):
-        import pyarrow as pa
-
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
+    def prepare(self, text: bytes | None) -> np.ndarray:
         with np.errstate(over="ignore"):
-            sets = [shingles(t, words) for t in table.column("text").cast(pa.binary()).to_pylist()]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(a):
-            x = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        elif not len(b):
-            x = _links(ids[a], [sets[i] for i in a], None, None, percent)
-        else:
-            x = _links(ids[a], [sets[i] for i in a], ids[b], [sets[i] for i in b], percent)
-        return pa.table({"a": x[0], "b": x[1]})
+            return shingles(text, self.words)
 
-    return run
+    def linked(self, sets, others):
+        return linked(sets, others, self.percent)
 
 
 def minhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -233,44 +185,9 @@ def minhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
     members = one.select("id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c")
     stars = common.stored(members.join(buckets, "band").where("id <> center").select("id", "center").distinct(), "candidates")
-    reach = components.connected(stars.select(F.col("id").alias("a"), F.col("center").alias("b")))
-    sizes = reach.groupBy("component").count()
-    reach = common.stored(reach.join(sizes, "component").select("id", F.col("component").alias("grp"), "count"), "groups")
-    # A document stands for its class by id and digest, as ids can repeat.
-    wanted = texts.join(reach, "id")
-    small = wanted.where(F.col("count") <= GROUP).repartition("grp").sortWithinPartitions("grp").select("grp", "id", "text")
-    links = small.mapInArrow(_groups(words, percent), "a long, b long")
-    if not reach.where(F.col("count") > GROUP).isEmpty():
-        large = common.stored(wanted.where(F.col("count") > GROUP), "large")
-        links = links.union(_large(large, stars, words, percent))
+    links = verify.links(texts, stars, ShingleKit(words, percent))
     groups = components.connected(links)
     classed = one.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     full = rows.where("digest IS NOT NULL").select("id", "n", "digest").join(classed, "digest").select("id", "n", "component_id")
     empty = rows.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-
-
-def _large(large: DataFrame, stars: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links within groups of more than GROUP classes."""
-    first = stars.join(large.select("id", "grp"), "id")
-    parts = first.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    texts = large.select("id", "text")
-    ends = first.join(parts, "center").select("center", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id"), F.lit(1).alias("side"))
-    heads = parts.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("center").alias("id"), F.lit(0).alias("side"))
-    sides = ends.unionByName(heads).join(texts, "id")
-    found = common.stored(sides.groupBy("center", "part").applyInArrow(_sides(words, percent), "a long, b long"), "stars")
-    joined = components.connected(found)
-    state = large.select("id", "grp", "count").distinct().join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    tops = state.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-    state = common.stored(state.join(tops, "grp").withColumn("rest", F.col("component") != F.col("top")).drop("top", "component"), "state")
-    # What the largest part of a group doesn't hold, against all of the group.
-    cuts = state.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all"), F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("few")).where("few > 0")
-    state = state.select("id", "grp", "rest").join(cuts, "grp")
-    every = state.where("NOT rest").select("id", "grp", F.pmod(F.xxhash64("id"), F.col("all")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("j"), F.lit(0).alias("side"), F.lit(0).alias("kind"))
-    few = state.where("rest").select("id", "grp", "all", "few", F.pmod(F.xxhash64("id"), F.col("few")).cast("int").alias("b"))
-    against = few.select("id", "grp", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(0).alias("kind"))
-    among = few.select("id", "grp", "b", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("o"))
-    among = among.select("id", "grp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), F.lit(1).alias("kind"))
-    pairs = every.unionByName(against).unionByName(among).join(texts, "id")
-    rest = pairs.groupBy("grp", "kind", "i", "j").applyInArrow(_sides(words, percent), "a long, b long")
-    return found.union(rest)

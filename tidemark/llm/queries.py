@@ -15,6 +15,13 @@ def op1_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.documents(spark, sf_dir), with_text=False)
 
 
+def op2_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    out = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(common.text_or_empty(), 256).alias("kept_sha256"))
+
+
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .gif import gif_store
 
@@ -69,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_simhash_lines, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
 
 ORACLE_SQL = {
     "op7_chat": r"""
