@@ -226,3 +226,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = True) -> DataF
     model = fit(docs, labels.where(~held_out()))
     out = score(docs, model, evidence=evidence)
     return out.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.3).cast("int")}).select("doc_id", "held_out", "score", "predicted", *["evidence"] * evidence)
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs with a lower score, columns as they are."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(t)[0] < threshold for t in b.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
