@@ -56,11 +56,11 @@ def _powers(n: int, base: int) -> np.ndarray:
 class Hasher:
     """Hashes of substrings from prefix sums: sum of byte values times powers, modulo 2**64."""
 
-    size = 0
+    size = -1
 
     def __init__(self, data: np.ndarray):
         if len(data) > Hasher.size:
-            Hasher.size = max(2 * Hasher.size, len(data))
+            Hasher.size = max(2 * Hasher.size, len(data), 1)
             Hasher.up = _powers(Hasher.size + 1, _BASE)
             Hasher.down = _powers(Hasher.size + 1, pow(_BASE, -1, 1 << 64))
             with np.errstate(over="ignore"):
