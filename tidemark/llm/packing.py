@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-CAPACITY, GROUP_WINDOWS, MEMO = 2048, 48, 400_000
+CAPACITY, GROUP_WINDOWS, MEMO = 2048, 48, 1_500_000
 
 
 class Words:
@@ -37,38 +37,35 @@ class Words:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.sizes, self.starts, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, words: list[str]) -> None:
+        sizes_of, found_ids = [], []
         for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            n = int(sizes.sum())
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-            self.ids[self.used : self.used + n] = np.fromiter((y for x in found for y in x), np.uint32, n)
-            self.at.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part)), strict=True))
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.used += n
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            place = list(map(self.at.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in self.at})
-            if len(self.at) + len(new) > MEMO and self.at:
-                self.clear()
-                new = list(set(words))
-            self.learn(new)
-            place = list(map(self.at.__getitem__, words))
-        place = np.array(place, np.int64)
-        sizes = self.sizes[place]
-        ends = np.cumsum(sizes)
-        shift = self.starts[place] - (ends - sizes)
-        return self.ids[np.arange(ends[-1]) + np.repeat(shift, sizes)]
+            found = [x.ids for x in self.tokenizer.encode_batch(words[i : i + 4096], add_special_tokens=False)]
+            sizes_of += map(len, found)
+            found_ids.append(np.fromiter((y for x in found for y in x), np.uint32))
+        self.at.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        sizes = np.array(sizes_of, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, *found_ids])
+
+    def encode(self, texts: list[str]):
+        """Ids of each text; the new words of all of them are learnt at once."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {w for words in split for w in set(words).difference(self.at)}
+        if len(self.at) + len(new) > MEMO and self.at:
+            self.clear()
+            new = {w for words in split for w in words}
+        if new:
+            self.learn(sorted(new))
+        for words in split:
+            place = np.array(list(map(self.at.__getitem__, words)), np.int64)
+            sizes = self.sizes[place]
+            ends = np.cumsum(sizes)
+            shift = self.starts[place] - (ends - sizes)
+            yield self.ids[np.arange(ends[-1]) + np.repeat(shift, sizes)]
 
 
 @functools.cache
@@ -194,8 +191,8 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
         for whole in batches:
             for b in common.slices(whole, text, 4 << 20):
                 kind = b.column(key).type
-                for x, s in zip(b.column(key).to_pylist(), b.column(text).to_pylist(), strict=True):
-                    ids = np.append(words.encode(s) if s else np.zeros(0, np.uint32), np.uint32(closing))
+                for x, ids in zip(b.column(key).to_pylist(), words.encode([s or "" for s in b.column(text).to_pylist()]), strict=True):
+                    ids = np.append(ids, np.uint32(closing))
                     at = len(ids) // capacity * capacity
                     for start in range(0, at, capacity):
                         put(x, ids, start, capacity, len(ids), 0)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-MEMO = 300_000
+MEMO = 700_000
 SPACE = "▁"
 
 
