@@ -111,7 +111,7 @@ def test_lines(spark):
     docs = [(1, f"{line}\nshort\n{line.upper()}!"), (2, f"intro of its own\n{line}"), (3, line.replace("today", "todax")), (4, "short\nshort")]
     got = {r["doc_id"]: r for r in lines.line_dedup(spark.createDataFrame(docs, DOCS)).collect()}
     assert got[1]["text"] == f"{line}\nshort" and got[2]["text"] == "intro of its own" and got[4]["text"] == "short\nshort"
-    near = int(np.bitwise_count(np.bitwise_xor(*lines.simhashes([line.split(), docs[2][1].split()])))) <= lines.MAX_BITS
+    near = int(np.bitwise_count(np.bitwise_xor(*lines.simhashes([line, docs[2][1]])))) <= lines.MAX_BITS
     assert (got[3]["text"] == "") == near
 
 

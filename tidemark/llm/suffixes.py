@@ -70,8 +70,11 @@ class Hasher:
             np.cumsum(Hasher.value[data] * Hasher.down[: len(data)], out=self.sums[1:])
 
     def __call__(self, at: np.ndarray, n: int) -> np.ndarray:
+        return self.between(at, at + n)
+
+    def between(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[at + n] - self.sums[at]) * Hasher.up[at])
+            return mix((self.sums[stop] - self.sums[start]) * Hasher.up[start])
 
 
 class Chunk:
