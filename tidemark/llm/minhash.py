@@ -180,7 +180,7 @@ def minhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
     spark = df.sparkSession
     common.ship(spark)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = common.stored(texts.mapInArrow(_sketch(words), "id long, n long, digest binary, bands array<long>"), "sketches")
+    rows = common.stored(texts.mapInArrow(common.tidy(_sketch(words)), "id long, n long, digest binary, bands array<long>"), "sketches")
     one = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     members = one.select("id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c")

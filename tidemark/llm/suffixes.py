@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from . import common
 from .minhash import mix
 
-PERIOD, ANCHORS, CHUNK, PART = 133, 8, 4 << 20, 3_000_000
+PERIOD, ANCHORS, CHUNK, PART = 133, 8, 2 << 20, 3_000_000
 #: A perfect difference set; every residue of 133 is a difference of two of these.
 COVER = np.array([1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110])
 
-_BASE = 0xD1342543DE82EF95
+_BASE, STEP = 0xD1342543DE82EF95, 1 << 19
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -60,7 +60,7 @@ class Hasher:
 
     def __init__(self, data: np.ndarray):
         if len(data) > Hasher.size:
-            Hasher.size = max(2 * Hasher.size, len(data), 1)
+            Hasher.size = -(-len(data) // STEP) * STEP
             Hasher.up = _powers(Hasher.size + 1, _BASE)
             Hasher.down = _powers(Hasher.size + 1, pow(_BASE, -1, 1 << 64))
             with np.errstate(over="ignore"):
@@ -305,7 +305,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     common.ship(spark)
     name, folder = f"chunks_{uuid.uuid4().hex}", common.work_folder(spark)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    made = texts.mapInArrow(_chunks, "chunk long, ids array<long>, ends array<int>, digests array<binary>, text binary")
+    made = texts.mapInArrow(common.tidy(_chunks), "chunk long, ids array<long>, ends array<int>, digests array<binary>, text binary")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     made.write.bucketBy(buckets, "chunk").option("path", f"{folder}/{name}").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
@@ -318,7 +318,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     copies = common.stored(copies.groupBy("chunk").agg(F.collect_list("x").alias("copies")), "copies")
     rows = table.drop("digests").join(copies.hint("shuffle_hash"), "chunk", "left")
     for step in (1, 2, 3, 4):
-        out = rows.mapInArrow(_emit(step, length, parts), "part int, chunk long, names binary, high binary, low binary, extra binary")
+        out = rows.mapInArrow(common.tidy(_emit(step, length, parts)), "part int, chunk long, names binary, high binary, low binary, extra binary")
         back = out.groupBy("part").applyInArrow(_neighbours(step), "chunk long, high binary, low binary, shifts binary")
         back = back.groupBy("chunk").agg(F.collect_list(F.struct("high", "low", "shifts")).alias(f"r{step}"))
         rows = rows.join(common.stored(back, f"places{step}").hint("shuffle_hash"), "chunk", "left")
@@ -338,4 +338,4 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=False)], names=names)
 
-    return rows.mapInArrow(finish, schema)
+    return rows.mapInArrow(common.tidy(finish), schema)

@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     terms = [r["term"] for r in seen.withColumn("stray", stray).where(F.col("stray") >= least).orderBy(F.desc("stray"), "term").limit(TERMS).collect()]
     model.terms = {t: i for i, t in enumerate(sorted(terms))}
     df = np.zeros(len(terms) + 1, np.int64)
-    for r in texts.select("text").mapInArrow(_frequencies(model.terms), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(common.tidy(_frequencies(model.terms)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         df[r["at"]] = r["n"]
     model.idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     rows = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(model)), "id long, toxic long, at array<long>, x array<double>").toArrow().to_pylist()
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 cols.append(pa.array([[{"doc_id": int(m.ids[i]), "label": int(m.labels[i]), "similarity": s} for s, i in g[1][:3]] for g in got], kind))
             yield pa.RecordBatch.from_arrays(cols, names=[key, "score", "evidence"][: len(cols)])
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(common.tidy(run), schema)
 
 
 def held_out(key: str = "doc_id"):
@@ -241,4 +241,4 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
         for b in batches:
             yield b.filter(pa.array([m.score(t)[0] < threshold for t in b.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

@@ -26,7 +26,7 @@ def links(texts: DataFrame, stars: DataFrame, kit) -> DataFrame:
     reach = common.stored(reach.join(sizes, "component").select("id", F.col("component").alias("grp"), "count"), "groups")
     wanted = texts.join(reach, "id")
     small = wanted.where(F.col("count") <= GROUP).repartition("grp").sortWithinPartitions("grp").select("grp", "id", "text")
-    found = small.mapInArrow(_groups(kit), "a long, b long")
+    found = small.mapInArrow(common.tidy(_groups(kit)), "a long, b long")
     if not reach.where(F.col("count") > GROUP).isEmpty():
         found = found.union(_large(common.stored(wanted.where(F.col("count") > GROUP), "large"), stars, kit))
     return found
