@@ -241,3 +241,21 @@ def test_nearest_is_exact():
             s = v[:, at] @ q[at]
             want = sorted(((float(x), i) for i, x in enumerate(s) if x > 0), key=lambda p: (-p[0], p[1]))[:15]
             assert [i for _, i in m.nearest(at, q[at], 15)] == [i for _, i in want]
+
+
+def test_edit_bound_and_ascii_lines():
+    rng = random.Random(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choices("abc ", k=rng.randrange(14))) for _ in range(2))
+        if rng.random() < 0.5:
+            k = rng.randrange(len(a) + 1)
+            b = a[:k] + rng.choice(["", "x", " y "]) + a[k + rng.randrange(3) :]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        most = rng.randrange(6)
+        assert lines.within(a, b, most) == (row[-1] <= most)
+        line = "".join(chr(rng.randrange(128)) for _ in range(40))
+        assert lines.normalised(line) == lines.normalised(line + " ")
