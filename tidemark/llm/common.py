@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent.parent
+#: What a worker remembers only for speed and can fill again.
+MEMOS: list[dict] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,6 +80,8 @@ def release() -> None:
 
     import pyarrow as pa
 
+    for memo in MEMOS:
+        memo.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:

@@ -49,6 +49,7 @@ class WordHashes:
 
 
 _hashes = WordHashes()
+common.MEMOS.append(_hashes.known)
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
