@@ -115,6 +115,58 @@ def test_lines(spark):
     assert (got[3]["text"] == "") == near
 
 
+@pytest.mark.parametrize("group", [256, 3])
+def test_lines_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(verify, "GROUP", group)
+    monkeypatch.setattr(verify, "BLOCK", group)
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 9))) for _ in range(300)]
+    found = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.choice([4, 40, 120]))
+        for _ in range(rng.choice([1, 3, 12])):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            if rng.random() < 0.3:
+                k = rng.randrange(len(w) - 1)
+                w[k], w[k + 1] = w[k + 1], w[k]  # the same SimHash
+            if rng.random() < 0.2:
+                rng.shuffle(w)
+            found.append(" ".join(w))
+    rng.shuffle(found)
+    docs = [(d, "\n".join(found[d::20])) for d in range(20)]
+    first = {}
+    for d, text in docs:
+        for k, line in enumerate(text.split("\n")):
+            if len(line) >= lines.MIN_CHARS:
+                first.setdefault(line, (d, k))
+    each = list(first)
+    h = lines.simhashes(each)
+    near = [(i, j) for i in range(len(each)) for j in range(i) if np.bitwise_count(h[i] ^ h[j]) <= lines.MAX_BITS]
+    pairs = [(i, j) for i, j in near if _edits(each[i], each[j]) <= int(0.2 * max(len(each[i]), len(each[j])) + 1e-9)]
+    assert 0 < len(pairs) < len(near)
+    ids, roots = components.forest(*(np.array(x) for x in zip(*pairs, strict=True)))
+    root = dict(zip(ids.tolist(), roots.tolist(), strict=True))
+    best = {}
+    for i, line in enumerate(each):
+        r = root.get(i, i)
+        best[r] = min(best.get(r, first[line]), first[line])
+    stays = {line: best[root.get(i, i)] for i, line in enumerate(each)}
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if stays.get(x, (d, k)) == (d, k)) for d, t in docs}
+    got = lines.line_dedup(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 @pytest.mark.parametrize("compress", [False, True])
 def test_gif_round_trip(compress):
     rng = random.Random(1)

@@ -19,9 +19,12 @@ from . import common, components
 GROUP, BLOCK = 256, 256
 
 
-def links(texts: DataFrame, stars: DataFrame, kit) -> DataFrame:
-    """Rows (a, b) that join what is linked; texts: (id, text), stars: distinct candidates (id, center)."""
-    reach = components.connected(stars.select(F.col("id").alias("a"), F.col("center").alias("b")))
+def links(texts: DataFrame, stars: DataFrame, kit, grouped: bool = False) -> DataFrame:
+    """Rows (a, b) that join what is linked; texts: (id, text), stars: distinct candidates (id, center), whole groups if grouped."""
+    if grouped:
+        reach = stars.select("id", F.col("center").alias("component")).union(stars.select(F.col("center").alias("id"), F.col("center").alias("component")).distinct())
+    else:
+        reach = components.connected(stars.select(F.col("id").alias("a"), F.col("center").alias("b")))
     sizes = reach.groupBy("component").count()
     reach = common.stored(reach.join(sizes, "component").select("id", F.col("component").alias("grp"), "count"), "groups")
     wanted = texts.join(reach, "id")
