@@ -2,6 +2,9 @@
 
 import random
 
+import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tidemark.llm import lines
 
 DOCS = "doc_id long, text string"
@@ -21,3 +24,25 @@ def test_lines_with_edits_of_any_length(spark):
             docs.append(" ".join(w))
     got = {r["doc_id"]: r["text"] for r in lines.line_dedup(spark.createDataFrame(list(enumerate(docs)), DOCS)).collect()}
     assert got == {i: "" if i % 2 else x for i, x in enumerate(docs)}
+
+
+def test_stages_decide_by_rows(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=6)) for _ in range(n))
+    a, b, c, d, shared = text(60), text(60), text(60), text(60), text(50)
+    rows = [(1, a), (1, a), (2, b), (2, f"{c}\n{a}"), (None, d), (None, d), (None, None), (3, f"{text(40)} {shared}"), (None, f"{text(40)} {shared}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None)
+    run = lambda stage, df: sorted(((r["doc_id"], r["text"]) for r in stage(spark, df, str(tmp_path)).collect()), key=key)
+    assert run(corpus_pipeline.toxicity, docs) == sorted(rows, key=key)
+    got = run(corpus_pipeline.line_stage, docs)
+    assert got == sorted([(1, a), (1, ""), (2, b), (2, c), (None, d), (None, ""), *rows[6:]], key=key)
+    near = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=key) == sorted([(1, a), *rows[2:5], *rows[6:]], key=key)
+    pair = [rows[0], rows[4], *rows[7:]]
+    got = run(corpus_pipeline.repeated_strings, docs.where(F.col("text").isin([t for _, t in pair])).distinct())
+    cut = lambda t: t.replace(" " + shared, "")
+    assert got == sorted([rows[0], rows[4], *((i, cut(t)) for i, t in rows[7:])], key=key)
+    packed = {r["doc_id"] for r in corpus_pipeline.packing(spark, docs, "").collect()}
+    assert packed == {1, 2, 3, None}
