@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines
+from tidemark.llm import embeddings, lines
 
 DOCS = "doc_id long, text string"
 
@@ -46,3 +47,19 @@ def test_stages_decide_by_rows(spark, tmp_path):
     assert got == sorted([rows[0], rows[4], *((i, cut(t)) for i, t in rows[7:])], key=key)
     packed = {r["doc_id"] for r in corpus_pipeline.packing(spark, docs, "").collect()}
     assert packed == {1, 2, 3, None}
+
+
+def test_near_vectors_of_low_rank_share_cells():
+    rng = np.random.default_rng(5)
+    basis = np.linalg.qr(rng.normal(size=(384, 24)))[0].T
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(8000, 24)) @ basis)
+    a = unit(rng.normal(size=(2000, 24)) @ basis)
+    z = rng.normal(size=(2000, 24)) @ basis
+    z = unit(z - (z * a).sum(1, keepdims=True) * a)
+    b = 0.9 * a + np.sqrt(0.19) * z
+    centroids = embeddings.fit(x, 40)
+    least = embeddings.MARGIN / np.sqrt(384)
+    margin = embeddings.margin_of(x, centroids, 0.9, least)
+    need = embeddings.needed(a, b, centroids)
+    assert (need <= least).mean() < 0.9 and (need <= margin).mean() > 0.998

@@ -2,7 +2,10 @@
 
 Centroids are fitted on a bounded sample (SAMPLE vectors); every vector is
 assigned.  A vector belongs to every cell whose centroid is within a margin of the
-best one, so that two near vectors share a cell; the margin is MARGIN / sqrt(dimensions).
+best one, so that two near vectors share a cell.  The margin is MARGIN / sqrt(dimensions),
+or what the sample asks for if that is more: PROBES of its vectors are paired with
+vectors at exactly the threshold, in directions that the sample's differences take,
+and with their near ones of the sample; SHARED of these pairs have to share a cell.
 Cells are cut into blocks of BLOCK vectors and pairs of blocks are tasks' groups, so
 that no cell is held whole.  A pair counts in the first cell that both share.
 
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common, components
 
 SAMPLE, PER_CELL, MOST_CELLS, BLOCK, MARGIN = 32_768, 200, 4096, 1024, 0.96
+PROBES, SHARED = 4096, 0.9995
 
 
 def _vectors(column):
@@ -67,7 +71,38 @@ def fit(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def _cells(centroids: dict, margin: float):
+def needed(x: np.ndarray, y: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The least margin at which each pair of unit vectors (x, y) shares a cell."""
+    out = np.empty(len(x))
+    for at in range(0, len(x), 512):
+        a, b = x[at : at + 512] @ centroids.T, y[at : at + 512] @ centroids.T
+        out[at : at + 512] = np.maximum(a.max(1, keepdims=True) - a, b.max(1, keepdims=True) - b).min(1)
+    return out
+
+
+def margin_of(sample: np.ndarray, centroids: np.ndarray, threshold: float, least: float) -> float:
+    """The margin at which SHARED of the sample's probe pairs share a cell, `least` or more."""
+    if len(sample) < 2 or len(centroids) < 2:
+        return least
+    rng = np.random.default_rng(0)
+    x = sample[rng.integers(len(sample), size=PROBES)]
+    z = sample[rng.integers(len(sample), size=PROBES)] - sample[rng.integers(len(sample), size=PROBES)]
+    z = z - (z * x).sum(1, keepdims=True) * x
+    norm = np.linalg.norm(z, axis=1)
+    x, z = x[norm > 1e-9], z[norm > 1e-9] / norm[norm > 1e-9, None]
+    at = min(1.0, max(-1.0, threshold))
+    found = [needed(x, at * x + np.sqrt(1 - at * at) * z, centroids)] if len(x) else []
+    probes = rng.permutation(len(sample))[:1024]
+    near = sample[probes] @ sample.T >= threshold
+    near[np.arange(len(probes)), probes] = False
+    i, j = np.nonzero(near)
+    if len(i):
+        pick = rng.permutation(len(i))[:PROBES]
+        found.append(needed(sample[probes[i[pick]]], sample[j[pick]], centroids))
+    return max([least, *(float(np.quantile(x, SHARED, method="higher")) for x in found)])
+
+
+def _cells(centroids: dict, margins: dict):
     def run(batches):
         import pyarrow as pa
 
@@ -84,7 +119,7 @@ def _cells(centroids: dict, margin: float):
                     inside = np.ones((len(rows), 1), bool)
                 else:
                     near = x @ c.T
-                    inside = near >= near.max(1, keepdims=True) - margin / np.sqrt(dims) - 1e-9
+                    inside = near >= near.max(1, keepdims=True) - margins[dims] - 1e-9
                 row, cell = np.nonzero(inside)
                 lists = np.split(cell, np.cumsum(inside.sum(1))[:-1])
                 at = np.array(rows)[row]
@@ -147,8 +182,10 @@ def embedding_near_dedup(df: DataFrame, vector: str = "embedding", key: str = "v
     for u in table.column("unit").to_pylist():
         by.setdefault(len(u) >> 3, []).append(u)
     k = max(1, min(MOST_CELLS, total // PER_CELL))
-    centroids = {dims: fit(np.frombuffer(b"".join(us)).reshape(len(us), dims), max(1, min(k, len(us) // 8))) for dims, us in by.items()}
-    members = one.mapInArrow(_cells(centroids, margin), "cell long, id long, n long, cells binary, unit binary")
+    samples = {dims: np.frombuffer(b"".join(us)).reshape(len(us), dims) for dims, us in by.items()}
+    centroids = {dims: fit(x, max(1, min(k, len(x) // 8))) for dims, x in samples.items()}
+    margins = {dims: margin_of(x, centroids[dims], threshold, margin / np.sqrt(dims)) for dims, x in samples.items()}
+    members = one.mapInArrow(_cells(centroids, margins), "cell long, id long, n long, cells binary, unit binary")
     # At most MOST_CELLS sizes for each length of vectors.
     sizes = members.groupBy("cell").count().where(F.col("count") > BLOCK)
     members = members.join(F.broadcast(sizes), "cell", "left") if total > BLOCK else members.withColumn("count", F.lit(None).cast("long"))
