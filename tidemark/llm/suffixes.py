@@ -1,7 +1,10 @@
 """Repeated byte strings by a difference-cover suffix order, cut off at the length that counts.
 
-Only the first `length` (200) bytes of a suffix matter, so the order is one of
-prefixes.  Positions whose offset in their document lies in a difference cover of
+No order of suffixes in text order is built: ranks of triples, recursion on a reduced
+string and the merge are replaced by hashes of windows at positions of a difference
+cover, sorted by hash and tested for equality, as only equality of the first `length`
+(200) bytes decides what goes and hashes can be dealt to tasks without a global order.
+"Suffix", "name", "sorted" and "merged" below mean such windows and their hashes.  Positions whose offset in their document lies in a difference cover of
 PERIOD are sampled: any two suffixes have a shift below PERIOD that makes both
 sampled, so that a repeat of `length` bytes shows as two equal samples of
 length - PERIOD + 1 bytes.
