@@ -61,14 +61,16 @@ def connected(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Stored minima leave both sides of the joins an exchange of their own, so that a hub's rows can be split.
+        least = common.stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.stored(large.where("u <> v").distinct(), "large")
+        down = common.stored(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         fresh = common.stored(small.mapInArrow(_local, "u long, v long").distinct(), "links")
-        common.dropped(stars)
+        for gone in (stars, least, large, down):
+            common.dropped(gone)
         stars = fresh
         now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.countDistinct("u").alias("d")).first()
         if now == mark or now["n"] == 0 or _flat(stars, now):

@@ -1,13 +1,20 @@
-"""Links within groups of candidates, confirmed on whole texts.
-
-What candidates reach is a candidate group.  A group of up to GROUP members is
-compared whole in one task.  In a larger one members are first compared with the
-centers of their buckets, and then all that the largest linked part does not hold
-with everything of the group, in pairs of blocks.  So no large group meets in one
-task, and no link that joins two parts of a group is lost.
-
-A kit has prepare(text as bytes) and linked(prepared, others or None), which gives
-the places (i, j) of linked pairs.
+"""Links within buckets of candidates, confirmed on whole texts: hubs first, then what they leave open.
+
+A bucket is the ids that share a key.  Its least id is its hub.  First every id is
+compared with the hubs of its buckets, once for each distinct pair.  Buckets whose
+ids then all belong to one component are done.  In the others, what the hub's
+component does not hold is compared with everything of the bucket, in pairs of
+blocks of BLOCK ids: sketches say which ids of a block pair can be linked at all,
+and only the texts of these move.  A pair is compared in the first bucket that both
+share.  So no bucket meets in one task, no text moves for a bucket that is done, and
+no link that joins two parts of a bucket is lost.
+
+A kit has
+  prepare(texts as bytes): what is compared, one for each text,
+  one(a, b): whether two of them are linked,
+  linked(a's, b's or None): places (i, j) of linked pairs,
+  possible(sketches a, sketches b, key): mask of pairs that can be linked and that the bucket
+  `key` is the first to show.
 """
 
 import numpy as np
@@ -19,99 +26,143 @@ from . import common, components
 GROUP, BLOCK = 256, 256
 
 
-def links(texts: DataFrame, stars: DataFrame, kit, grouped: bool = False) -> DataFrame:
-    """Rows (a, b) that join what is linked; texts: (id, text), stars: distinct candidates (id, center), whole groups if grouped."""
-    if grouped:
-        reach = stars.select("id", F.col("center").alias("component")).union(stars.select(F.col("center").alias("id"), F.col("center").alias("component")).distinct())
-    else:
-        reach = components.connected(stars.select(F.col("id").alias("a"), F.col("center").alias("b")))
-    sizes = reach.groupBy("component").count()
-    reach = common.stored(reach.join(sizes, "component").select("id", F.col("component").alias("grp"), "count"), "groups")
-    wanted = texts.join(reach, "id")
-    small = wanted.where(F.col("count") <= GROUP).repartition("grp").sortWithinPartitions("grp").select("grp", "id", "text")
-    found = small.mapInArrow(common.tidy(_groups(kit)), "a long, b long")
-    if not reach.where(F.col("count") > GROUP).isEmpty():
-        found = found.union(_large(common.stored(wanted.where(F.col("count") > GROUP), "large"), stars, kit))
-    return found
+def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit) -> DataFrame:
+    """Rows (id, component) of what is linked; members: (key, id, hub) of buckets, texts: (id, text), sketches: (id, sketch)."""
+    pairs = members.where("id <> hub").select("id", "hub").distinct()
+    wanted = members.select("id").distinct()
+    texts = common.stored(texts.join(wanted, "id", "left_semi"), "bucket_texts")
+    first = common.stored(hub_links(pairs, texts, kit), "hub_links")
+    joined = components.connected(first)
+    cells = common.stored(open_blocks(members, joined), "open_blocks")
+    if cells.isEmpty():
+        return joined
+    needed = cells.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    needed = common.stored(needed.mapInArrow(common.tidy(_survivors(kit)), "key long, i int, j int, part int, component long, id long"), "survivors")
+    rest = needed.join(texts, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = common.stored(rest.mapInArrow(common.tidy(_block_links(kit)), "a long, b long"), "block_links")
+    if rest.isEmpty():
+        return joined
+    return components.connected(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest))
+
+
+def hub_links(pairs: DataFrame, texts: DataFrame, kit) -> DataFrame:
+    """Rows (a, b): the pairs (id, hub) that are linked.  A hub's pairs are cut into parts, each with the hub's text."""
+    parts = common.stored(pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "hubs")
+    ends = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
+    heads = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"))
+    rows = ends.unionByName(heads).join(texts, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
+    return rows.select("hub", "part", "side", "id", "text").mapInArrow(common.tidy(_hubs(kit)), "a long, b long")
+
+
+def _hubs(kit):
+    """Over rows sorted by hub, part and side: each id against the hub before it."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _links(kit, ids, sets, other_ids=None, others=None):
-    x, y = kit.linked(sets, others)
-    if not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found, roots = components.forest(ids[x], (ids if others is None else other_ids)[y])
-    keep = found != roots
-    return found[keep], roots[keep]
+        head = None
+        for whole in batches:
+            for b in common.slices(whole, "text", 1 << 20):
+                left, right = [], []
+                made = kit.prepare(b.column("text").cast(pa.binary()).to_pylist())
+                for side, hub, i, x in zip(b.column("side").to_pylist(), b.column("hub").to_pylist(), b.column("id").to_pylist(), made, strict=True):
+                    if side == 0:
+                        head = x
+                    elif kit.one(x, head):
+                        left.append(i)
+                        right.append(hub)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
+    return run
 
-def _groups(kit):
-    """Over rows sorted by group: links within each group."""
 
+def open_blocks(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (key, i, j, part, component, id): pairs of blocks of the buckets that hubs leave open.
+
+    part 0 is what the hub's component holds or, as j, the first of two blocks of the rest; part 1 the rest
+    that is compared with it.  A block pair within the rest has i >= 0, one with the hub's component i < 0.
+    """
+    state = members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    state = common.stored(state, "bucket_state")
+    sizes = state.groupBy("key").agg(F.min_by("component", "id").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    sizes = common.stored(sizes.where("low <> high AND n > 2").select("key", "main"), "open_buckets")
+    state = common.stored(state.join(sizes, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main"), "open_state")
+    cuts = state.groupBy("key").agg(F.ceil(F.count_if(~F.col("rest")) / BLOCK).cast("int").alias("many"), F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("few"))
+    state = state.join(common.stored(cuts, "open_cuts"), "key")
+    row = lambda i, j, part: [F.col("key"), i.cast("int").alias("i"), j.cast("int").alias("j"), part.cast("int").alias("part"), F.col("component"), F.col("id")]
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    among = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("o")
+    rest, main = state.where("rest"), state.where("NOT rest")
+    cells = main.select("*", among("few")).select(*row(-1 - block("many"), F.col("o"), F.lit(0)))
+    cells = cells.union(rest.select("*", among("many")).select(*row(-1 - F.col("o"), block("few"), F.lit(1))))
+    both = rest.withColumn("own", block("few")).select("*", among("few"))
+    return cells.union(both.select(*row(F.least("own", "o"), F.greatest("own", "o"), F.when(F.col("own") <= F.col("o"), 0).otherwise(1))))
+
+
+def _cells(batches, column: str):
+    """(key, i, j, rows) of each block pair, from rows sorted by these; rows: (part, component, id, value)."""
+    cell, rows = None, []
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("key", "i", "j", "part", "component", "id", column)]
+        for key, i, j, *row in zip(*cols, strict=True):
+            if (key, i, j) != cell:
+                if rows:
+                    yield *cell, rows
+                cell, rows = (key, i, j), []
+            rows.append(row)
+    if rows:
+        yield *cell, rows
+
+
+def _sides(i: int, j: int, rows):
+    """Rows of both sides; None for the second where a block meets itself."""
+    return ([r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]) if i != j else (rows, None)
+
+
+def _survivors(kit):
     def run(batches):
         import pyarrow as pa
 
-        group, ids, sets = None, [], []
-
-        def close():
-            got = [_links(kit, np.array(ids, np.int64), sets)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["a", "b"])
-
-        for b in batches:
-            for g, i, t in zip(b.column("grp").to_pylist(), b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if g != group:
-                    if len(ids) > 1:
-                        yield close()
-                    group, ids, sets = g, [], []
-                ids.append(i)
-                sets.append(kit.prepare(t))
-        if len(ids) > 1:
-            yield close()
+        out, held = [], 0
+        names = ["key", "i", "j", "part", "component", "id"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        for key, i, j, rows in _cells(batches, "sketch"):
+            a, b = _sides(i, j, rows)
+            c = a if b is None else b
+            if not a or not c:
+                continue
+            can = kit.possible([r[3] for r in a], [r[3] for r in c], key)
+            can &= np.array([r[1] for r in a])[:, None] != np.array([r[1] for r in c])[None]
+            left, right = can.any(1), can.any(0)
+            if b is None:
+                left |= right
+            kept = [r for r, k in zip(a, left.tolist(), strict=True) if k] + ([r for r, k in zip(b, right.tolist(), strict=True) if k] if b is not None else [])
+            out += [(key, i, j, *r[:3]) for r in kept]
+            if len(out) > 1 << 14:
+                yield made()
+                out = []
+        if out:
+            yield made()
 
     return run
 
 
-def _sides(kit):
-    """One group of rows: those of side 0 against those of side 1, or one side within itself."""
-
-    def run(table):
+def _block_links(kit):
+    def run(batches):
         import pyarrow as pa
 
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        sets = [kit.prepare(t) for t in table.column("text").cast(pa.binary()).to_pylist()]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(a):
-            x = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        elif not len(b):
-            x = _links(kit, ids[a], [sets[i] for i in a])
-        else:
-            x = _links(kit, ids[a], [sets[i] for i in a], ids[b], [sets[i] for i in b])
-        return pa.table({"a": x[0], "b": x[1]})
+        for _, i, j, rows in _cells((b.set_column(b.schema.get_field_index("text"), "text", b.column("text").cast(pa.binary())) for b in batches), "text"):
+            a, b = _sides(i, j, rows)
+            c = a if b is None else b
+            if not a or not c:
+                continue
+            left, right = kit.prepare([r[3] for r in a]), None if b is None else kit.prepare([r[3] for r in b])
+            x, y = kit.linked(left, right)
+            if len(x):
+                x, y = np.array([r[2] for r in a])[x], np.array([r[2] for r in c])[y]
+                found, roots = components.forest(x, y)
+                keep = found != roots
+                yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(roots[keep])], names=["a", "b"])
 
     return run
-
-
-def _large(large: DataFrame, stars: DataFrame, kit) -> DataFrame:
-    """Links within groups of more than GROUP members."""
-    first = stars.join(large.select("id", "grp"), "id")
-    parts = first.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    texts = large.select("id", "text")
-    ends = first.join(parts, "center").select("center", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id"), F.lit(1).alias("side"))
-    heads = parts.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("center").alias("id"), F.lit(0).alias("side"))
-    sides = ends.unionByName(heads).join(texts, "id")
-    found = common.stored(sides.groupBy("center", "part").applyInArrow(_sides(kit), "a long, b long"), "stars")
-    joined = components.connected(found)
-    state = large.select("id", "grp", "count").distinct().join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    tops = state.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-    state = common.stored(state.join(tops, "grp").withColumn("rest", F.col("component") != F.col("top")).drop("top", "component"), "state")
-    # What the largest part of a group doesn't hold, against all of the group.
-    cuts = state.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all"), F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("few")).where("few > 0")
-    state = state.select("id", "grp", "rest").join(cuts, "grp")
-    every = state.where("NOT rest").select("id", "grp", F.pmod(F.xxhash64("id"), F.col("all")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("j"), F.lit(0).alias("side"), F.lit(0).alias("kind"))
-    few = state.where("rest").select("id", "grp", "all", "few", F.pmod(F.xxhash64("id"), F.col("few")).cast("int").alias("b"))
-    against = few.select("id", "grp", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(0).alias("kind"))
-    among = few.select("id", "grp", "b", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("o"))
-    among = among.select("id", "grp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), F.lit(1).alias("kind"))
-    pairs = every.unionByName(against).unionByName(among).join(texts, "id")
-    rest = pairs.groupBy("grp", "kind", "i", "j").applyInArrow(_sides(kit), "a long, b long")
-    return found.union(rest)
