@@ -238,7 +238,7 @@ class ShingleKit:
         for i in range(len(x)):
             equal = x[i] == y
             near = np.flatnonzero(equal.sum(1) >= self.agree)
-            bands = equal[near, : SIGNATURE // ROWS * ROWS].reshape(len(near), -1, ROWS).all(2)
+            bands = equal[near, : SIGNATURE // ROWS * ROWS].reshape(len(near), SIGNATURE // ROWS, ROWS).all(2)
             out[i, near] = bands.any(1)
             # The band's number is in its key's lowest bits.
             out[i, near] &= bands.argmax(1) == key & BAND_MASK
