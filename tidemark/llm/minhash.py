@@ -220,7 +220,10 @@ class ShingleKit:
     def prepare(self, texts: list[bytes | None]) -> list[np.ndarray]:
         return shingles(texts, self.words)
 
-    def one(self, a: np.ndarray, b: np.ndarray) -> bool:
+    def decide(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.array([self._linked(a, b) for a, b in pairs], bool)
+
+    def _linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = sorted((len(a), len(b)))
         if 100 * small < self.percent * large:
             return False
@@ -228,16 +231,19 @@ class ShingleKit:
         n = int(np.count_nonzero(both[1:] == both[:-1]))
         return 100 * n >= self.percent * (small + large - n)
 
-    def linked(self, sets, others):
+    def near(self, sets, others):
         return linked(sets, others, self.percent)
 
-    def possible(self, a: list[bytes], b: list[bytes], key: int) -> np.ndarray:
+    def possible(self, a: list[bytes], b: list[bytes], key: int | None) -> np.ndarray:
         """Pairs whose slots agree often enough, if the band `key` is the first that they share."""
         x, y = (np.frombuffer(b"".join(v), np.uint16).reshape(-1, SIGNATURE) for v in (a, b))
         out = np.zeros((len(x), len(y)), bool)
         for i in range(len(x)):
             equal = x[i] == y
             near = np.flatnonzero(equal.sum(1) >= self.agree)
+            if key is None:
+                out[i, near] = True
+                continue
             bands = equal[near, : SIGNATURE // ROWS * ROWS].reshape(len(near), SIGNATURE // ROWS, ROWS).all(2)
             out[i, near] = bands.any(1)
             # The band's number is in its key's lowest bits.
@@ -254,7 +260,7 @@ def minhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
     one = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     one = common.stored(one, "classes")
     members = one.select(F.explode("bands").alias("key"), "id")
-    buckets = common.stored(members.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    buckets = common.stored(members.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = common.stored(members.join(buckets, "key"), "members")
     groups = verify.components_of(members, texts, one.select("id", "sketch"), ShingleKit(words, percent))
     classed = one.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))

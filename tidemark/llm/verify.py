@@ -1,20 +1,19 @@
 """Links within buckets of candidates, confirmed on whole texts: hubs first, then what they leave open.
 
 A bucket is the ids that share a key.  Its least id is its hub.  First every id is
-compared with the hubs of its buckets, once for each distinct pair.  Buckets whose
+compared with the hubs of its buckets, if their sketches allow a link.  Buckets whose
 ids then all belong to one component are done.  In the others, what the hub's
 component does not hold is compared with everything of the bucket, in pairs of
 blocks of BLOCK ids: sketches say which ids of a block pair can be linked at all,
-and only the texts of these move.  A pair is compared in the first bucket that both
-share.  So no bucket meets in one task, no text moves for a bucket that is done, and
-no link that joins two parts of a bucket is lost.
+and only the texts of these move.  So no bucket meets in one task, no text moves for a
+bucket that is done, and no link that joins two parts of a bucket is lost.
 
 A kit has
   prepare(texts as bytes): what is compared, one for each text,
-  one(a, b): whether two of them are linked,
-  linked(a's, b's or None): places (i, j) of linked pairs,
-  possible(sketches a, sketches b, key): mask of pairs that can be linked and that the bucket
-  `key` is the first to show.
+  decide(pairs of these): mask of those that are linked,
+  near(a's, b's or None): places (i, j) of pairs that can be linked, for decide(),
+  possible(sketches a, sketches b, key): mask of pairs that can be linked, where the bucket
+  `key` is to show them; key None: whichever shows them.
 """
 
 import numpy as np
@@ -23,14 +22,12 @@ from pyspark.sql import functions as F
 
 from . import common, components
 
-GROUP, BLOCK = 256, 256
+GROUP, BLOCK, PAIRS = 256, 256, 4096
 
 
 def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit) -> DataFrame:
-    """Rows (id, component) of what is linked; members: (key, id, hub) of buckets, texts: (id, text), sketches: (id, sketch)."""
-    pairs = members.where("id <> hub").select("id", "hub").distinct()
-    wanted = members.select("id").distinct()
-    texts = common.stored(texts.join(wanted, "id", "left_semi"), "bucket_texts")
+    """Rows (id, component) of what is linked; members: (key, id, hub, n) of buckets of n, texts: (id, text), sketches: (id, sketch)."""
+    pairs = common.stored(hub_pairs(members, sketches, kit), "hub_pairs")
     first = common.stored(hub_links(pairs, texts, kit), "hub_links")
     joined = components.connected(first)
     cells = common.stored(open_blocks(members, joined), "open_blocks")
@@ -38,6 +35,8 @@ def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit
         return joined
     needed = cells.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     needed = common.stored(needed.mapInArrow(common.tidy(_survivors(kit)), "key long, i int, j int, part int, component long, id long"), "survivors")
+    if needed.isEmpty():
+        return joined
     rest = needed.join(texts, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = common.stored(rest.mapInArrow(common.tidy(_block_links(kit)), "a long, b long"), "block_links")
     if rest.isEmpty():
@@ -45,13 +44,60 @@ def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit
     return components.connected(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest))
 
 
+def _with_hubs(pairs: DataFrame) -> DataFrame:
+    """Rows (key, part, side, id) of groups of about BLOCK pairs (key, hub, n, id), each headed by its hub as side 0."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    ends = pairs.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("side"), "id", "hub")
+    heads = pairs.select("key", "hub", parts.alias("parts")).distinct()
+    heads = heads.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"), "hub")
+    return ends.unionByName(heads)
+
+
+def hub_pairs(members: DataFrame, sketches: DataFrame, kit) -> DataFrame:
+    """Distinct rows (id, hub) whose sketches allow a link."""
+    rows = _with_hubs(members.where("id <> hub")).join(sketches, "id")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "side")
+
+    def run(batches):
+        import pyarrow as pa
+
+        group, hub, heads = None, None, []
+        for b in batches:
+            left, right = [], []
+            ends, sketch = [], []
+
+            def close():
+                if ends and heads:
+                    can = kit.possible(heads, sketch, None).any(0)  # noqa: B023
+                    found = [i for i, c in zip(ends, can.tolist(), strict=True) if c]  # noqa: B023
+                    left.extend(found)  # noqa: B023
+                    right.extend([hub] * len(found))  # noqa: B023
+                    ends.clear()  # noqa: B023
+                    sketch.clear()  # noqa: B023
+
+            cols = [b.column(c).to_pylist() for c in ("key", "part", "side", "id", "sketch")]
+            for key, part, side, i, x in zip(*cols, strict=True):
+                if (key, part) != group:
+                    close()
+                    group, heads = (key, part), []
+                if side:
+                    ends.append(i)
+                    sketch.append(x)
+                else:  # rows that repeat an id are heads side by side
+                    hub = i
+                    heads.append(x)
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["id", "hub"])
+
+    return rows.select("key", "part", "side", "id", "sketch").mapInArrow(common.tidy(run), "id long, hub long").distinct()
+
+
 def hub_links(pairs: DataFrame, texts: DataFrame, kit) -> DataFrame:
     """Rows (a, b): the pairs (id, hub) that are linked.  A hub's pairs are cut into parts, each with the hub's text."""
-    parts = common.stored(pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "hubs")
-    ends = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
-    heads = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"))
-    rows = ends.unionByName(heads).join(texts, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
-    return rows.select("hub", "part", "side", "id", "text").mapInArrow(common.tidy(_hubs(kit)), "a long, b long")
+    sizes = common.stored(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hubs")
+    rows = _with_hubs(pairs.join(sizes, "hub").withColumn("key", F.col("hub"))).join(texts, "id")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    return rows.select("key", "part", "side", "id", "text").mapInArrow(common.tidy(_hubs(kit)), "a long, b long")
 
 
 def _hubs(kit):
@@ -60,18 +106,23 @@ def _hubs(kit):
     def run(batches):
         import pyarrow as pa
 
-        head = None
+        group, hub, heads = None, None, []
         for whole in batches:
             for b in common.slices(whole, "text", 1 << 20):
-                left, right = [], []
+                ends, pairs = [], []
                 made = kit.prepare(b.column("text").cast(pa.binary()).to_pylist())
-                for side, hub, i, x in zip(b.column("side").to_pylist(), b.column("hub").to_pylist(), b.column("id").to_pylist(), made, strict=True):
+                cols = [b.column(c).to_pylist() for c in ("key", "part", "side", "id")]
+                for key, part, side, i, x in zip(*cols, made, strict=True):
+                    if (key, part) != group:
+                        group, heads = (key, part), []
                     if side == 0:
-                        head = x
-                    elif kit.one(x, head):
-                        left.append(i)
-                        right.append(hub)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                        hub = i
+                        heads.append(x)
+                    else:
+                        ends += [(i, hub)] * len(heads)
+                        pairs += [(x, head) for head in heads]
+                found = [e for e, k in zip(ends, kit.decide(pairs).tolist(), strict=True) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -152,17 +203,29 @@ def _block_links(kit):
     def run(batches):
         import pyarrow as pa
 
+        ids, pairs = [], []
+
+        def out():
+            found = np.array(ids, np.int64)[kit.decide(pairs)]
+            ids.clear()
+            pairs.clear()
+            x, roots = components.forest(found[:, 0], found[:, 1]) if len(found) else (np.zeros(0, np.int64),) * 2
+            keep = x != roots
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(roots[keep])], names=["a", "b"])
+
         for _, i, j, rows in _cells((b.set_column(b.schema.get_field_index("text"), "text", b.column("text").cast(pa.binary())) for b in batches), "text"):
             a, b = _sides(i, j, rows)
             c = a if b is None else b
             if not a or not c:
                 continue
             left, right = kit.prepare([r[3] for r in a]), None if b is None else kit.prepare([r[3] for r in b])
-            x, y = kit.linked(left, right)
-            if len(x):
-                x, y = np.array([r[2] for r in a])[x], np.array([r[2] for r in c])[y]
-                found, roots = components.forest(x, y)
-                keep = found != roots
-                yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(roots[keep])], names=["a", "b"])
+            for x, y in zip(*(v.tolist() for v in kit.near(left, right)), strict=True):
+                if a[x][1] != c[y][1]:
+                    ids.append((a[x][2], c[y][2]))
+                    pairs.append((left[x], (right or left)[y]))
+                    if len(pairs) >= PAIRS:
+                        yield out()
+        if pairs:
+            yield out()
 
     return run
