@@ -1,13 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-fit() takes a bounded sample of labelled rows (EXAMPLES of either label), keeps the
-TERMS terms of theirs that tell the labels apart best, and counts in how many of
-all documents each occurs.  A text's vector over those terms is (1 + ln tf) * idf,
-scaled to length one.  score() finds the NEAREST examples by cosine: blocks of
-examples are visited by their upper bound, from the largest postings of a block,
-until no block can hold a nearer one.  Votes are weighted by similarity and by how
-thinly a label was sampled; an isotonic curve through the examples' own scores,
-each without itself, makes them probabilities.
+fit() takes a bounded sample of labelled rows (EXAMPLES of either label).  Its terms are
+all words of theirs: none is dropped.  A text's vector over them is (1 + ln tf) * idf *
+information, scaled to length one: idf counts all documents, and a term's information
+is how far its share of label 1 among the examples that hold it strays from the share of
+all (their number times the Kullback-Leibler divergence), without which common words
+outweigh the few that tell.  score() finds the NEAREST examples by cosine in an inverted
+index: postings lie by term and block of BLOCK examples, each with its largest weight.
+The FIRST blocks by upper bound are read, then all whose bound reaches the similarity
+found, so that the result is exact.  Votes are weighted by similarity and by how thinly
+a label was sampled; an isotonic curve through the examples' own scores, each without
+itself, makes them probabilities.
 
 Nulls and texts without a known term have no neighbour: they get the share of
 label 1 among such examples.  Without labels every score is 0.  Labels are read by
@@ -16,6 +19,8 @@ document: the larger one where they repeat.  Only the text enters a score.
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,49 +29,117 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXAMPLES, TERMS, NEAREST, BLOCK = 2000, 256, 15, 64
+EXAMPLES, NEAREST, BLOCK, FIRST, PIECE = 2000, 15, 64, 4, 1 << 20
 _TERM = re.compile(r"[^\W\d_]+")
+_BREAK = re.compile(r"[\W\d_]")
+
+
+def words(text: str | None) -> Iterator[list[str]]:
+    """The lower-case words of a text, of about PIECE signs at a time."""
+    text, at = text or "", 0
+    while len(text) - at > PIECE:
+        cut = _BREAK.search(text, at + PIECE)
+        if not cut:
+            break
+        yield _TERM.findall(text[at : cut.start()].lower())
+        at = cut.start()
+    yield _TERM.findall(text[at:].lower())
+
+
+def counts_of(text: str | None) -> Counter:
+    found: Counter = Counter()
+    for part in words(text):
+        found.update(part)
+    return found
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, stop), one after the other."""
+    n = stop - start
+    end = np.cumsum(n)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - n), n)
 
 
 @dataclass
 class Model:
     terms: dict
-    idf: np.ndarray
-    vectors: np.ndarray  # of the examples, blocks in order
+    weight: np.ndarray  # idf times information of each term
+    vectors: object  # of the examples, blocks in order: pairs (places, weights), or a matrix
     labels: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
-    bounds: np.ndarray  # largest weight of each term in each block
+    bounds: object  # made from the vectors: largest weights, blocks, and first and last posting of each term and block
     steps: np.ndarray  # raw scores where the calibrated value changes
     values: np.ndarray
     blank: float
 
+    def __post_init__(self):
+        if isinstance(self.vectors, np.ndarray):
+            self.vectors = [(np.flatnonzero(v), v[v != 0]) for v in self.vectors]
+        sizes = [len(at) for at, _ in self.vectors]
+        term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in self.vectors)]).astype(np.int64)
+        x = np.concatenate([np.zeros(0), *(x for _, x in self.vectors)])
+        example = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((example, term))
+        self.example, self.x, term = example[order], x[order], term[order]
+        cell = np.ones(len(term), bool)
+        cell[1:] = (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK)
+        start = np.flatnonzero(cell)
+        most = np.maximum.reduceat(self.x, start) if len(start) else self.x
+        self.bounds = most, self.example[start] // BLOCK, start, np.append(start[1:], len(term)).astype(np.int64)
+        self.first = np.searchsorted(term[start], np.arange(len(self.weight) + 1))  # cells of each term
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of the text's known terms."""
-        counts: dict[int, int] = {}
-        terms = self.terms
-        for w in _TERM.findall((text or "").lower()):
-            if w in terms:
-                counts[terms[w]] = counts.get(terms[w], 0) + 1
-        at = np.array(sorted(counts), np.int64)
-        x = (1 + np.log([counts[i] for i in at.tolist()])) * self.idf[at] if len(at) else np.zeros(0)
+        return self.unit(counts_of(text).items())
+
+    def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        known = sorted((self.terms[w], n) for w, n in counts if w in self.terms)
+        at = np.array([i for i, _ in known], np.int64)
+        x = (1 + np.log([n for _, n in known])) * self.weight[at] if known else np.zeros(0)
+        at, x = at[x > 0], x[x > 0]
         return at, x / np.sqrt((x * x).sum()) if len(at) else x
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k most similar examples of positive cosine; ties go to the earlier one."""
-        bound = x @ self.bounds[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            similar = self.vectors[b * BLOCK : (b + 1) * BLOCK, at] @ x
-            floor = best[-1][0] if len(best) == k else 0.0
-            new = [(float(similar[i]), b * BLOCK + i) for i in np.flatnonzero((similar >= floor - 1e-12) & (similar > 0)).tolist() if b * BLOCK + i != skip]
-            best = sorted(best + new, key=lambda p: (-p[0], p[1]))[:k]
-        return best
+        most, block, start, stop = self.bounds
+        cells = _ranges(self.first[at], self.first[at + 1])
+        if not len(cells):
+            return []
+        own = np.repeat(x, self.first[at + 1] - self.first[at])
+        bound = np.bincount(block[cells], most[cells] * own, -(-len(self.vectors) // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        similar = np.zeros(len(self.vectors))
+
+        def read(chosen: np.ndarray) -> None:
+            inside = np.zeros(len(bound), bool)
+            inside[chosen] = True
+            inside = inside[block[cells]]
+            c = cells[inside]
+            p = _ranges(start[c], stop[c])
+            similar[:] += np.bincount(self.example[p], self.x[p] * np.repeat(own[inside], stop[c] - start[c]), len(similar))
+
+        def best() -> list[int]:
+            if skip >= 0:
+                similar[skip] = 0
+            found = np.flatnonzero(similar > 0)
+            if len(found) > k:
+                least = np.partition(similar[found], len(found) - k)[len(found) - k]
+                found = found[similar[found] >= least]
+            return found[np.argsort(-similar[found], kind="stable")][:k].tolist()
+
+        read(order[:FIRST])
+        found = best()
+        floor = similar[found[-1]] if len(found) == k else 0.0
+        more = order[FIRST:]
+        more = more[bound[more] >= floor - 1e-12]
+        if len(more):
+            read(more)
+            found = best()
+        return [(float(similar[i]), i) for i in found]
 
     def votes(self, found: list[tuple[float, int]]) -> float:
-        w = [(s / (1.01 - s) * self.weights[i], self.labels[i]) for s, i in found]
+        w = [(s / (1.01 - min(s, 1.0)) * self.weights[i], self.labels[i]) for s, i in found]
         return sum(a for a, y in w if y) / sum(a for a, _ in w)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
@@ -95,44 +168,63 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([steps[0], *steps[2:]]), np.array(values)
 
 
-def _sample_terms(batches):
+def _examples(batches):
     import pyarrow as pa
 
     for b in batches:
-        terms, labels = [], []
-        for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            for w in sorted(set(_TERM.findall((t or "").lower()))):
-                terms.append(w)
-                labels.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int64())], names=["term", "y"])
+        got = [sorted(counts_of(t).items()) for t in b.column("text").to_pylist()]
+        cols = [b.column("id"), b.column("toxic"), pa.array([[w for w, _ in g] for g in got], pa.list_(pa.string())), pa.array([[n for _, n in g] for g in got], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "toxic", "words", "counts"])
+
 
+def _frequencies(terms):
+    """In how many texts each term occurs, and as the last one the number of texts."""
 
-def _frequencies(terms: dict):
     def run(batches):
         import pyarrow as pa
 
-        n, known = np.zeros(len(terms) + 1, np.int64), set(terms)
+        known = terms.value
+        n = np.zeros(len(known) + 1, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 n[-1] += 1
-                for w in known.intersection(_TERM.findall((t or "").lower())):
-                    n[terms[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["at", "n"])
+                found: set[str] = set()
+                for part in words(t):
+                    found.update(part)
+                n[[known[w] for w in found if w in known]] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
 
     return run
 
 
-def _vectors(model):
+def _own_scores(shared):
+    """Raw score of each example by the others, its terms weighted by these alone; none for those without neighbours."""
+
     def run(batches):
         import pyarrow as pa
 
+        m, c, t, share = shared.value
         for b in batches:
-            got = [model.value.vector(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64()))], names=["id", "toxic", "at", "x"])
+            at, raw = b.column(0).to_pylist(), []
+            for i in at:
+                term, x = m.vectors[i]
+                x = x * information(c[term] - 1, t[term] - m.labels[i], share) / information(c[term], t[term], share)
+                term, x = term[x > 0], x[x > 0]
+                found = m.nearest(term, x / np.sqrt((x * x).sum()), NEAREST, skip=i) if len(x) else []
+                raw.append(m.votes(found) if found else None)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw, pa.float64())], names=["at", "raw"])
 
     return run
 
 
+def information(c: np.ndarray, t: np.ndarray, share: float) -> np.ndarray:
+    """Of terms in c examples, t of them with label 1: c times the divergence of t / c from the share."""
+    q = t / np.maximum(c, 1)
+    part = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-300) / max(b, 1e-9)), 0.0)
+    return np.maximum(c * (part(q, share) + part(1 - q, 1 - share)), 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """docs: all documents; labels: (key, label) of the rows to learn from."""
     spark = docs.sparkSession
@@ -145,53 +237,41 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     one = 1 << 30
     limit = F.when(F.col("toxic") == 1, int(share.get(1, 0) * one)).when(F.col("toxic") == 0, int(share.get(0, 0) * one)).otherwise(0)
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(one)) < limit).limit(4 * EXAMPLES)
-    sample = common.stored(texts.join(F.broadcast(chosen), "id"), "examples")  # at most 4 * EXAMPLES ids
-    sides = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n, ones = sum(sides.values()), sides.get(1, 0)
+    sample = texts.join(F.broadcast(chosen), "id")  # at most 4 * EXAMPLES ids
+    rows = sample.mapInArrow(common.tidy(_examples), "id long, toxic long, words array<string>, counts array<long>").toArrow().to_pylist()
     empty = np.zeros(0)
-    model = Model({}, empty, np.zeros((0, 0)), empty, empty, empty, np.zeros((0, 0)), np.array([-math.inf]), np.array([0.0]), 0.0)
-    if not n:
+    model = Model({}, empty, [], empty, empty, empty, None, np.array([-math.inf]), np.array([0.0]), 0.0)
+    if not rows:
         return model
-    p = ones / n
-    seen = sample.select("text", "toxic").mapInArrow(_sample_terms, "term string, y long").groupBy("term").agg(F.count("*").alias("c"), F.sum("y").alias("t"))
-    seen = common.stored(seen, "terms")
-    # Chernoff's bound: that few of all the terms stray so far from the share p by chance.
-    q = F.col("t") / F.col("c")
-    part = lambda a, b: F.when(a > 0, a * F.log(a / max(b, 1e-9))).otherwise(0.0)
-    stray = F.col("c") * (part(q, p) + part(1 - q, 1 - p))
-    least = math.log(max(seen.count(), 1)) + 1
-    terms = [r["term"] for r in seen.withColumn("stray", stray).where(F.col("stray") >= least).orderBy(F.desc("stray"), "term").limit(TERMS).collect()]
-    model.terms = {t: i for i, t in enumerate(sorted(terms))}
-    df = np.zeros(len(terms) + 1, np.int64)
-    for r in texts.select("text").mapInArrow(common.tidy(_frequencies(model.terms)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        df[r["at"]] = r["n"]
-    model.idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    rows = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(model)), "id long, toxic long, at array<long>, x array<double>").toArrow().to_pylist()
-    weight = {y: totals[y] / sides[y] for y in sides}
-    blank = [r for r in rows if not r["at"]]
-    total = sum(totals.values())
-    prior = totals.get(1, 0) / total
+    terms = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
+    c, t = np.zeros(len(terms)), np.zeros(len(terms))
+    for r in rows:
+        at = [terms[w] for w in r["words"]]
+        c[at] += 1
+        t[at] += r["toxic"]
+    found = texts.select("text").mapInArrow(common.tidy(_frequencies(spark.sparkContext.broadcast(terms))), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1)
+    df[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    ones = sum(r["toxic"] for r in rows)
+    sides = {1: ones, 0: len(rows) - ones}
+    weight = {y: totals[y] / n for y, n in sides.items() if n}
+    prior = totals.get(1, 0) / sum(totals.values())
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    model = Model(terms, idf * information(c, t, ones / len(rows)), [], empty, empty, empty, None, model.steps, model.values, 0.0)
+    made = [(r, model.unit(zip(r["words"], r["counts"], strict=True))) for r in rows]
+    blank = [r for r, v in made if not len(v[0])]
     model.blank = (sum(weight[r["toxic"]] * r["toxic"] for r in blank) + prior) / (sum(weight[r["toxic"]] for r in blank) + 1)
     # Like examples side by side make tight bounds.
-    rows = sorted((r for r in rows if r["at"]), key=lambda r: (r["at"][int(np.argmax(r["x"]))], r["toxic"], r["id"]))
-    if not rows:
+    made = sorted(((r, v) for r, v in made if len(v[0])), key=lambda p: (int(p[1][0][np.argmax(p[1][1])]), p[0]["toxic"], p[0]["id"]))
+    if not made:
         return model
-    model.vectors = np.zeros((len(rows), len(terms)))
-    for i, r in enumerate(rows):
-        model.vectors[i, r["at"]] = r["x"]
-    model.labels = np.array([r["toxic"] for r in rows])
-    model.ids = np.array([r["id"] for r in rows])
-    model.weights = np.array([weight[r["toxic"]] for r in rows])
-    model.bounds = np.maximum.reduceat(model.vectors, np.arange(0, len(rows), BLOCK)).T.copy()
-    raw, y, w = [], [], []
-    for i, r in enumerate(rows):
-        found = model.nearest(np.array(r["at"]), np.array(r["x"]), NEAREST, skip=i)
-        if found:
-            raw.append(model.votes(found))
-            y.append(r["toxic"])
-            w.append(model.weights[i])
-    if raw:
-        model.steps, model.values = isotonic(np.array(raw), np.array(y, float), np.array(w))
+    y = np.array([r["toxic"] for r, _ in made])
+    model = Model(terms, model.weight, [v for _, v in made], y, np.array([r["id"] for r, _ in made]), np.array([weight[v] for v in y.tolist()]), None, model.steps, model.values, model.blank)
+    own = spark.range(len(made)).mapInArrow(common.tidy(_own_scores(spark.sparkContext.broadcast((model, c, t, ones / len(rows))))), "at long, raw double").where("raw IS NOT NULL").toArrow()
+    if own.num_rows:
+        at, raw = own.column("at").to_numpy(), own.column("raw").to_numpy()
+        order = np.argsort(at)
+        model.steps, model.values = isotonic(raw[order], y[at[order]].astype(float), model.weights[at[order]])
     return model
 
 
@@ -199,7 +279,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key, score and, if asked for, evidence: ids, labels and similarities of the nearest examples."""
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    shared = spark.sparkContext.broadcast(model)  # bounded by EXAMPLES and their texts
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, score double" + ", evidence array<struct<doc_id:long,label:long,similarity:double>>" * evidence
 
     def run(batches):
