@@ -1,8 +1,10 @@
 """GIF: read code streams, palettes, disposal and transparency; store timed frames.
 
-`encode` writes 8-bit samples as frames of a grey palette, `decode` reads any
-GIF87a or GIF89a stream: sub-blocks, local palettes, interlacing, delays,
-transparent indexes and the disposal rules (keep, background, previous).
+`encode` writes 8-bit samples as timed frames of a grey palette, in greedy LZW codes;
+`decode` reads any GIF87a or GIF89a stream: code streams, sub-blocks, local palettes,
+interlacing, delays, transparent indexes and the disposal rules (keep, background,
+previous).  `frames_of` gives what is stored of each frame, `gif_frames` as a table;
+histograms count the colours of the composed canvas in the frame's own area.
 
 Nulls and empty texts give a payload of one row of 192 spaces.  Rows that repeat
 give equal values.  A long text takes several frames and no more than a frame's
@@ -116,8 +118,8 @@ def blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(x)]) + x for x in (data[i : i + 255] for i in range(0, len(data), 255))) + b"\0"
 
 
-def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = 100, compress: bool = False) -> bytes:
-    """Samples as timed frames over one grey palette; the last frame can be lower.  compress: with longer codes."""
+def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = 100, compress: bool = True) -> bytes:
+    """Samples as timed frames over one grey palette; the last frame can be lower.  compress: greedy codes, else only literal ones."""
     height = min(rows, len(payload) // width)
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), GREY.tobytes()]
     for at in range(0, len(payload), width * rows):
@@ -299,17 +301,23 @@ def _decode(data: bytes, compose: bool) -> Iterator[Frame]:
 
 
 def histogram(frame: Frame, bins: int = 4) -> np.ndarray:
-    """Counts of the visible colours of a frame's own area, bins a channel."""
-    if frame.transparent is None:  # what the frame shows is its own
-        n = np.bincount(frame.indexes.ravel(), minlength=256)[: len(frame.palette)]
-        colours = frame.palette
-    else:
-        h, w = frame.indexes.shape
-        colours = frame.canvas[frame.top : frame.top + h, frame.left : frame.left + w].reshape(-1, 4)
-        colours = colours[colours[:, 3] > 0]
-        n = np.ones(len(colours))
-    at = colours.astype(np.int64) * bins >> 8
-    return np.bincount((at[:, 0] * bins + at[:, 1]) * bins + at[:, 2], n, bins**3).astype(np.int64)
+    """Counts of the visible colours that the canvas shows in a frame's own area, bins a channel."""
+    h, w = frame.indexes.shape
+    area = np.ascontiguousarray(frame.canvas[frame.top : frame.top + h, frame.left : frame.left + w]).view(np.uint32).ravel()
+    colours, n = np.unique(area, return_counts=True)  # few: at most those of the frames so far
+    colours = colours.view(np.uint8).reshape(-1, 4)
+    seen = colours[:, 3] > 0
+    at = colours[seen].astype(np.int64) * bins >> 8
+    return np.bincount((at[:, 0] * bins + at[:, 1]) * bins + at[:, 2], n[seen], bins**3).astype(np.int64)
+
+
+def frames_of(data: bytes) -> Iterator[tuple[int, int, int, int, int, int, int, int, bytes, np.ndarray]]:
+    """(frame, left, top, width, height, delay_ms, at_ms, disposal, samples, histogram) of each frame."""
+    at = 0
+    for i, f in enumerate(decode(data)):
+        h, w = f.indexes.shape
+        yield i, f.left, f.top, w, h, f.delay_ms, at, f.disposal, f.indexes.tobytes(), histogram(f)
+        at += f.delay_ms
 
 
 def payload_of(text: bytes, unit: int = 192) -> bytes:
@@ -325,18 +333,14 @@ def gif_frames(df: DataFrame, media: str = "media", key: str = "doc_id") -> Data
 
         for b in batches:
             for x, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, at = [], 0
-                for i, f in enumerate(decode(data) if data is not None else ()):
-                    h, w = f.indexes.shape
-                    rows.append((x, i, f.left, f.top, w, h, f.delay_ms, at, f.disposal, f.indexes.tobytes(), histogram(f).tolist()))
-                    at += f.delay_ms
+                rows = [(x, *f[:-1], f[-1].tolist()) for f in (frames_of(data) if data is not None else ())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [b.schema.field(0).type, *[pa.int32()] * 8, pa.binary(), pa.list_(pa.int64())], strict=True)], names=names)
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, frame int, left int, top int, width int, height int, delay_ms int, at_ms int, disposal int, samples binary, histogram array<bigint>"
     names = [x.split()[0] for x in schema.split(", ")]
-    return df.select(key, media).mapInArrow(run, schema)
+    return df.select(key, media).mapInArrow(common.tidy(run), schema)
 
 
 def gif_store(df: DataFrame, text: str = "text", key: str = "doc_id", media: bool = True) -> DataFrame:
@@ -354,9 +358,9 @@ def gif_store(df: DataFrame, text: str = "text", key: str = "doc_id", media: boo
                     s = s or b""
                     stored = encode(payload_of(s))
                     parts, counts = [], np.zeros(64, np.int64)
-                    for f in decode(stored):
-                        parts.append(f.indexes.tobytes())
-                        counts += histogram(f)
+                    for *_, samples, colours in frames_of(stored):
+                        parts.append(samples)
+                        counts += colours
                     got = b"".join(parts)
                     feature = f"{len(parts)}:" + ",".join(map(str, counts[::21].tolist()))
                     rows.append((x, len(s), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(parts)) + (stored,) * media)
@@ -364,4 +368,4 @@ def gif_store(df: DataFrame, text: str = "text", key: str = "doc_id", media: boo
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
 
     names = [f.split()[0] for f in schema.split(", ")]
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(common.tidy(run), schema)
