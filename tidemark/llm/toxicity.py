@@ -6,9 +6,10 @@ information, scaled to length one: idf counts all documents, and a term's inform
 is how far its share of label 1 among the examples that hold it strays from the share of
 all (their number times the Kullback-Leibler divergence), without which common words
 outweigh the few that tell.  score() finds the NEAREST examples by cosine in an inverted
-index: postings lie by term and block of BLOCK examples, each with its largest weight.
-The FIRST blocks by upper bound are read, then all whose bound reaches the similarity
-found, so that the result is exact.  Votes are weighted by similarity and by how thinly
+index: postings lie by term and block of BLOCK examples, each with its largest weight;
+those of terms that one in OFTEN examples holds are full columns, multiplied for many
+texts at once.  The FIRST blocks by upper bound are read, then all whose bound reaches
+the similarity found, so that the result is exact.  Votes are weighted by similarity and by how thinly
 a label was sampled; an isotonic curve through the examples' own scores, each without
 itself, makes them probabilities.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXAMPLES, NEAREST, BLOCK, FIRST, PIECE = 2000, 15, 64, 4, 1 << 20
+EXAMPLES, NEAREST, BLOCK, FIRST, OFTEN, TEXTS, PIECE = 2000, 15, 64, 4, 8, 64, 1 << 20
 _TERM = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[\W\d_]")
 
@@ -80,6 +81,12 @@ class Model:
         term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in self.vectors)]).astype(np.int64)
         x = np.concatenate([np.zeros(0), *(x for _, x in self.vectors)])
         example = np.repeat(np.arange(len(sizes)), sizes)
+        often = np.bincount(term, minlength=len(self.weight)) * OFTEN >= max(len(sizes), 1)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)  # of each term, -1 for those with postings
+        self.columns = np.zeros((int(often.sum()), len(sizes)))
+        full = often[term]
+        self.columns[self.column[term[full]], example[full]] = x[full]
+        term, x, example = term[~full], x[~full], example[~full]
         order = np.lexsort((example, term))
         self.example, self.x, term = example[order], x[order], term[order]
         cell = np.ones(len(term), bool)
@@ -88,66 +95,96 @@ class Model:
         most = np.maximum.reduceat(self.x, start) if len(start) else self.x
         self.bounds = most, self.example[start] // BLOCK, start, np.append(start[1:], len(term)).astype(np.int64)
         self.first = np.searchsorted(term[start], np.arange(len(self.weight) + 1))  # cells of each term
+        self.starts = np.arange(0, len(sizes), BLOCK)
+
+    def __reduce__(self):  # the index is made anew where the model arrives
+        sizes = np.array([len(at) for at, _ in self.vectors], np.int64)
+        at = np.concatenate([np.zeros(0, np.int32), *(at for at, _ in self.vectors)]).astype(np.int32)
+        x = np.concatenate([np.zeros(0), *(x for _, x in self.vectors)])
+        return _model, ("\n".join(self.terms), self.weight, sizes, at, x, self.labels, self.ids, self.weights, self.steps, self.values, self.blank)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of the text's known terms."""
         return self.unit(counts_of(text).items())
 
     def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        known = sorted((self.terms[w], n) for w, n in counts if w in self.terms)
-        at = np.array([i for i, _ in known], np.int64)
-        x = (1 + np.log([n for _, n in known])) * self.weight[at] if known else np.zeros(0)
+        get = self.terms.get
+        known = [(i, n) for i, n in ((get(w), n) for w, n in counts) if i is not None]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, n = np.array(known, np.int64).T
+        order = np.argsort(at)
+        at, x = at[order], (1 + np.log(n[order])) * self.weight[at[order]]
         at, x = at[x > 0], x[x > 0]
         return at, x / np.sqrt((x * x).sum()) if len(at) else x
 
-    def nearest(self, at: np.ndarray, x: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
+    def base(self, vectors) -> np.ndarray:
+        """What the full columns give each of the vectors, one row each."""
+        dense = np.zeros((len(vectors), len(self.columns)))
+        for row, (at, x) in zip(dense, vectors, strict=True):
+            place = self.column[at]
+            row[place[place >= 0]] = x[place >= 0]
+        return dense @ self.columns
+
+    def nearest(self, at: np.ndarray, x: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The k most similar examples of positive cosine; ties go to the earlier one."""
-        most, block, start, stop = self.bounds
-        cells = _ranges(self.first[at], self.first[at + 1])
-        if not len(cells):
+        if not len(self.vectors):
             return []
-        own = np.repeat(x, self.first[at + 1] - self.first[at])
-        bound = np.bincount(block[cells], most[cells] * own, -(-len(self.vectors) // BLOCK))
+        similar = self.base([(at, x)])[0] if base is None else base
+        most, block, start, stop = self.bounds
+        n = self.first[at + 1] - self.first[at]
+        cells, own = _ranges(self.first[at], self.first[at + 1]), np.repeat(x, n)
+        in_block = block[cells]
+        bound = np.maximum.reduceat(similar, self.starts) + np.bincount(in_block, most[cells] * own, len(self.starts))
         order = np.argsort(-bound, kind="stable")
-        similar = np.zeros(len(self.vectors))
+        state = np.full(len(bound), -1)
 
-        def read(chosen: np.ndarray) -> None:
-            inside = np.zeros(len(bound), bool)
-            inside[chosen] = True
-            inside = inside[block[cells]]
+        def read(chosen: np.ndarray) -> list[tuple[float, int]]:
+            """The best of the blocks chosen so far."""
+            state[chosen] = 1
+            inside = state[in_block] == 1
             c = cells[inside]
+            size = stop[c] - start[c]
             p = _ranges(start[c], stop[c])
-            similar[:] += np.bincount(self.example[p], self.x[p] * np.repeat(own[inside], stop[c] - start[c]), len(similar))
-
-        def best() -> list[int]:
+            similar[:] += np.bincount(self.example[p], self.x[p] * np.repeat(own[inside], size), len(similar))
+            state[chosen] = 0
             if skip >= 0:
                 similar[skip] = 0
-            found = np.flatnonzero(similar > 0)
+            seen = np.where(np.repeat(state == 0, BLOCK)[: len(similar)], similar, 0)
+            found = np.flatnonzero(seen > 0)
             if len(found) > k:
-                least = np.partition(similar[found], len(found) - k)[len(found) - k]
-                found = found[similar[found] >= least]
-            return found[np.argsort(-similar[found], kind="stable")][:k].tolist()
+                found = found[seen[found] >= np.partition(seen[found], len(found) - k)[len(found) - k]]
+            return found[np.argsort(-seen[found], kind="stable")][:k]
 
-        read(order[:FIRST])
-        found = best()
+        found = read(order[:FIRST])
         floor = similar[found[-1]] if len(found) == k else 0.0
         more = order[FIRST:]
         more = more[bound[more] >= floor - 1e-12]
         if len(more):
-            read(more)
-            found = best()
-        return [(float(similar[i]), i) for i in found]
+            found = read(more)
+        return [(float(similar[i]), int(i)) for i in found]
 
     def votes(self, found: list[tuple[float, int]]) -> float:
         w = [(s / (1.01 - min(s, 1.0)) * self.weights[i], self.labels[i]) for s, i in found]
         return sum(a for a, y in w if y) / sum(a for a, _ in w)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        at, x = self.vector(text)
-        found = self.nearest(at, x, NEAREST) if len(at) and len(self.vectors) else []
-        if not found:
-            return self.blank, []
-        return float(self.values[np.searchsorted(self.steps, self.votes(found), "right") - 1]), found
+        return next(self.scores([text]))
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and nearest examples of each text."""
+        for s in range(0, len(texts), TEXTS):
+            vectors = [self.vector(t) for t in texts[s : s + TEXTS]]
+            base = self.base(vectors)
+            for (at, x), row in zip(vectors, base, strict=True):
+                found = self.nearest(at, x, NEAREST, base=row) if len(at) else []
+                yield (float(self.values[np.searchsorted(self.steps, self.votes(found), "right") - 1]), found) if found else (self.blank, [])
+
+
+def _model(terms, weight, sizes, at, x, labels, ids, weights, steps, values, blank) -> Model:
+    cuts = np.cumsum(sizes)[:-1]
+    vectors = list(zip(np.split(at.astype(np.int64), cuts), np.split(x, cuts), strict=True)) if len(sizes) else []
+    return Model({w: i for i, w in enumerate(terms.split("\n"))} if terms else {}, weight, vectors, labels, ids, weights, None, steps, values, blank)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         at = [terms[w] for w in r["words"]]
         c[at] += 1
         t[at] += r["toxic"]
-    found = texts.select("text").mapInArrow(common.tidy(_frequencies(spark.sparkContext.broadcast(terms))), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast(terms)
+    found = texts.select("text").mapInArrow(common.tidy(_frequencies(shared)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
     df = np.zeros(len(terms) + 1)
     df[found.column("at").to_numpy()] = found.column("n").to_numpy()
     ones = sum(r["toxic"] for r in rows)
@@ -267,7 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return model
     y = np.array([r["toxic"] for r, _ in made])
     model = Model(terms, model.weight, [v for _, v in made], y, np.array([r["id"] for r, _ in made]), np.array([weight[v] for v in y.tolist()]), None, model.steps, model.values, model.blank)
-    own = spark.range(len(made)).mapInArrow(common.tidy(_own_scores(spark.sparkContext.broadcast((model, c, t, ones / len(rows))))), "at long, raw double").where("raw IS NOT NULL").toArrow()
+    shared = spark.sparkContext.broadcast((model, c, t, ones / len(rows)))
+    own = spark.range(len(made)).mapInArrow(common.tidy(_own_scores(shared)), "at long, raw double").where("raw IS NOT NULL").toArrow()
+    shared.unpersist()
     if own.num_rows:
         at, raw = own.column("at").to_numpy(), own.column("raw").to_numpy()
         order = np.argsort(at)
@@ -288,7 +329,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         m = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int64()), ("similarity", pa.float64())]))
         for b in batches:
-            got = [m.score(t) for t in b.column(text).to_pylist()]
+            got = list(m.scores(b.column(text).to_pylist()))
             cols = [b.column(key), pa.array([g[0] for g in got], pa.float64())]
             if evidence:
                 cols.append(pa.array([[{"doc_id": int(m.ids[i]), "label": int(m.labels[i]), "similarity": s} for s, i in g[1][:3]] for g in got], kind))
@@ -319,6 +360,6 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
 
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([m.score(t)[0] < threshold for t in b.column(text).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([x < threshold for x, _ in m.scores(b.column(text).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(common.tidy(run), docs.schema)
