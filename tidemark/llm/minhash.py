@@ -234,22 +234,21 @@ class ShingleKit:
     def near(self, sets, others):
         return linked(sets, others, self.percent)
 
-    def possible(self, a: list[bytes], b: list[bytes], key: int | None) -> np.ndarray:
+    def can(self, a: list[bytes], b: list[bytes], keys: list[int | None]) -> np.ndarray:
         """Pairs whose slots agree often enough, if the band `key` is the first that they share."""
-        x, y = (np.frombuffer(b"".join(v), np.uint16).reshape(-1, SIGNATURE) for v in (a, b))
-        out = np.zeros((len(x), len(y)), bool)
-        for i in range(len(x)):
-            equal = x[i] == y
-            near = np.flatnonzero(equal.sum(1) >= self.agree)
-            if key is None:
-                out[i, near] = True
-                continue
-            bands = equal[near, : SIGNATURE // ROWS * ROWS].reshape(len(near), SIGNATURE // ROWS, ROWS).all(2)
-            out[i, near] = bands.any(1)
-            # The band's number is in its key's lowest bits.
-            out[i, near] &= bands.argmax(1) == key & BAND_MASK
+        out = np.zeros(len(a), bool)
+        for s in range(0, len(a), 4096):
+            x, y = (np.frombuffer(b"".join(v[s : s + 4096]), np.uint16).reshape(-1, SIGNATURE) for v in (a, b))
+            equal = x == y
+            bands = equal[:, : SIGNATURE // ROWS * ROWS].reshape(len(x), SIGNATURE // ROWS, ROWS).all(2)
+            # A band's number is in its key's lowest bits.
+            band = np.array([-1 if k is None else k & BAND_MASK for k in keys[s : s + 4096]])
+            out[s : s + 4096] = (equal.sum(1) >= self.agree) & ((band < 0) | bands.any(1) & (bands.argmax(1) == band))
         return out
 
+    def possible(self, a: list[bytes], b: list[bytes], key: int | None) -> np.ndarray:
+        return np.array([self.can([x] * len(b), b, [key] * len(b)) for x in a]).reshape(len(a), len(b))
+
 
 def minhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""

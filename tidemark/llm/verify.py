@@ -1,6 +1,7 @@
 """Links within buckets of candidates, confirmed on whole texts: hubs first, then what they leave open.
 
-A bucket is the ids that share a key.  Its least id is its hub.  First every id is
+A bucket is the ids that share a key.  Its least id is its hub.  Sketches say first which
+ids of a bucket of up to BLOCK can be linked at all; the others leave it.  Then every id is
 compared with the hubs of its buckets, if their sketches allow a link.  Buckets whose
 ids then all belong to one component are done.  In the others, what the hub's
 component does not hold is compared with everything of the bucket, in pairs of
@@ -12,8 +13,9 @@ A kit has
   prepare(texts as bytes): what is compared, one for each text,
   decide(pairs of these): mask of those that are linked,
   near(a's, b's or None): places (i, j) of pairs that can be linked, for decide(),
-  possible(sketches a, sketches b, key): mask of pairs that can be linked, where the bucket
-  `key` is to show them; key None: whichever shows them.
+  can(sketches a, sketches b, keys): which of these pairs can be linked, where the bucket
+  `key` of each is to show them; key None: whichever shows them,
+  possible(sketches a, sketches b, key): the same for all pairs of both.
 """
 
 import numpy as np
@@ -27,7 +29,8 @@ GROUP, BLOCK, PAIRS = 256, 256, 4096
 
 def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit) -> DataFrame:
     """Rows (id, component) of what is linked; members: (key, id, hub, n) of buckets of n, texts: (id, text), sketches: (id, sketch)."""
-    pairs = common.stored(hub_pairs(members, sketches, kit), "hub_pairs")
+    members = common.stored(near_members(members, sketches, kit), "near_members")
+    pairs = common.stored(members.where("to_hub").select("id", "hub").distinct(), "hub_pairs")
     first = common.stored(hub_links(pairs, texts, kit), "hub_links")
     joined = components.connected(first)
     cells = common.stored(open_blocks(members, joined), "open_blocks")
@@ -45,57 +48,83 @@ def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit
 
 
 def _with_hubs(pairs: DataFrame) -> DataFrame:
-    """Rows (key, part, side, id) of groups of about BLOCK pairs (key, hub, n, id), each headed by its hub as side 0."""
+    """Rows (key, part, side, id, hub, n) of groups of about BLOCK pairs (key, hub, n, id), each headed by its hub as side 0."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    ends = pairs.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("side"), "id", "hub")
-    heads = pairs.select("key", "hub", parts.alias("parts")).distinct()
-    heads = heads.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"), "hub")
+    ends = pairs.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("side"), "id", "hub", "n")
+    heads = pairs.select("key", "hub", "n", parts.alias("parts")).distinct()
+    heads = heads.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"), "hub", "n")
     return ends.unionByName(heads)
 
 
-def hub_pairs(members: DataFrame, sketches: DataFrame, kit) -> DataFrame:
-    """Distinct rows (id, hub) whose sketches allow a link."""
+def near_members(members: DataFrame, sketches: DataFrame, kit) -> DataFrame:
+    """Rows (key, id, hub, n, to_hub) of the ids that can be linked with others of their buckets, or with their hubs."""
     rows = _with_hubs(members.where("id <> hub")).join(sketches, "id")
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "side")
 
     def run(batches):
         import pyarrow as pa
 
-        group, hub, heads = None, None, []
+        group, heads, ends = None, [], []
+        rows, left, right, key_of = [], [], [], []  # members; sketches of pairs and what they decide: (row, other row or None for the hub)
+        decides = []
+
+        def close():
+            """Note the pairs of a bucket: ids with its hub, and with each other where it is small."""
+            if not heads or not ends:
+                return
+            key, part, hub, n = group
+            start = len(rows)
+            if part == 0:
+                rows.append([key, hub, hub, n, False, n > BLOCK])
+            for i, x in ends:
+                rows.append([key, i, hub, n, False, n > BLOCK])
+                for h in heads:
+                    left.append(h)
+                    right.append(x)
+                    key_of.append(None)
+                    decides.append((len(rows) - 1, start if part == 0 else None, True))
+            if 1 < len(ends) and n <= BLOCK:
+                first = len(rows) - len(ends)
+                for u, v in zip(*(w.tolist() for w in np.triu_indices(len(ends), 1)), strict=True):
+                    left.append(ends[u][1])
+                    right.append(ends[v][1])
+                    key_of.append(key)
+                    decides.append((first + u, first + v, False))
+
+        def out():
+            for (u, v, to_hub), can in zip(decides, kit.can(left, right, key_of).tolist(), strict=True):
+                if can:
+                    rows[u][5] = True
+                    rows[u][4] |= to_hub
+                    if v is not None:
+                        rows[v][5] = True
+            kept = [r[:5] for r in rows if r[5]]
+            for x in (rows, left, right, key_of, decides):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], t) for k, t in enumerate([*[pa.int64()] * 4, pa.bool_()])], names=["key", "id", "hub", "n", "to_hub"])
+
         for b in batches:
-            left, right = [], []
-            ends, sketch = [], []
-
-            def close():
-                if ends and heads:
-                    can = kit.possible(heads, sketch, None).any(0)  # noqa: B023
-                    found = [i for i, c in zip(ends, can.tolist(), strict=True) if c]  # noqa: B023
-                    left.extend(found)  # noqa: B023
-                    right.extend([hub] * len(found))  # noqa: B023
-                    ends.clear()  # noqa: B023
-                    sketch.clear()  # noqa: B023
-
-            cols = [b.column(c).to_pylist() for c in ("key", "part", "side", "id", "sketch")]
-            for key, part, side, i, x in zip(*cols, strict=True):
-                if (key, part) != group:
+            cols = [b.column(c).to_pylist() for c in ("key", "part", "hub", "n", "side", "id", "sketch")]
+            for *g, side, i, x in zip(*cols, strict=True):
+                if tuple(g) != group:
                     close()
-                    group, heads = (key, part), []
+                    group, heads, ends = tuple(g), [], []
+                    if len(left) >= 4 * PAIRS:
+                        yield out()
                 if side:
-                    ends.append(i)
-                    sketch.append(x)
+                    ends.append((i, x))
                 else:  # rows that repeat an id are heads side by side
-                    hub = i
                     heads.append(x)
-            close()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["id", "hub"])
+        close()
+        yield out()
 
-    return rows.select("key", "part", "side", "id", "sketch").mapInArrow(common.tidy(run), "id long, hub long").distinct()
+    return rows.select("key", "part", "hub", "n", "side", "id", "sketch").mapInArrow(common.tidy(run), "key long, id long, hub long, n long, to_hub boolean")
 
 
 def hub_links(pairs: DataFrame, texts: DataFrame, kit) -> DataFrame:
     """Rows (a, b): the pairs (id, hub) that are linked.  A hub's pairs are cut into parts, each with the hub's text."""
     sizes = common.stored(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hubs")
-    rows = _with_hubs(pairs.join(sizes, "hub").withColumn("key", F.col("hub"))).join(texts, "id")
+    rows = _with_hubs(pairs.join(sizes, "hub").withColumn("key", F.col("hub"))).drop("hub", "n").join(texts, "id")
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "side")
     return rows.select("key", "part", "side", "id", "text").mapInArrow(common.tidy(_hubs(kit)), "a long, b long")
 
@@ -107,10 +136,18 @@ def _hubs(kit):
         import pyarrow as pa
 
         group, hub, heads = None, None, []
+        ends, pairs, held = [], [], 0
+
+        def out():
+            found = [e for e, k in zip(ends, kit.decide(pairs).tolist(), strict=True) if k]
+            ends.clear()
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for whole in batches:
             for b in common.slices(whole, "text", 1 << 20):
-                ends, pairs = [], []
                 made = kit.prepare(b.column("text").cast(pa.binary()).to_pylist())
+                held += b.column("text").nbytes
                 cols = [b.column(c).to_pylist() for c in ("key", "part", "side", "id")]
                 for key, part, side, i, x in zip(*cols, made, strict=True):
                     if (key, part) != group:
@@ -121,8 +158,10 @@ def _hubs(kit):
                     else:
                         ends += [(i, hub)] * len(heads)
                         pairs += [(x, head) for head in heads]
-                found = [e for e, k in zip(ends, kit.decide(pairs).tolist(), strict=True) if k]
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                if len(pairs) >= PAIRS or held >= 8 << 20:
+                    held = 0
+                    yield out()
+        yield out()
 
     return run
 
