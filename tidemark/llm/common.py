@@ -1,5 +1,6 @@
 """What the operators share: sessions, work folders, byte slices of Arrow batches."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,10 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(spark: SparkSession) -> None:
+    """Shuffle files go once nothing refers to them: collect now, so that those of finished steps don't add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession

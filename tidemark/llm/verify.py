@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from . import common, components
 
-GROUP, BLOCK, PAIRS = 256, 256, 4096
+GROUP, BLOCK, PAIRS = 256, 256, 8192
 
 
 def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit) -> DataFrame:
     """Rows (id, component) of what is linked; members: (key, id, hub, n) of buckets of n, texts: (id, text), sketches: (id, sketch)."""
     members = common.stored(near_members(members, sketches, kit), "near_members")
+    common.settled(members.sparkSession)
     pairs = common.stored(members.where("to_hub").select("id", "hub").distinct(), "hub_pairs")
     first = common.stored(hub_links(pairs, texts, kit), "hub_links")
     joined = components.connected(first)
