@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: JSON types, and levels of severity from the worst.
 TYPES = ["string", "integer", "number", "boolean", "null", "object", "array"]
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "DORMANT", "NONE_OBSERVED", "UNRATED"]
 
@@ -91,6 +92,25 @@ def unseen_bound(n: Column) -> Column:
     return F.when(n > 0, 1 - F.pow(F.lit(0.05), 1.0 / n))
 
 
+def capitalise(x: Column) -> Column:
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
+
+
+def map_value_path(parent: Column) -> Column:
+    """The path of a map's values."""
+    return F.concat(parent, F.lit(".*"))
+
+
+def window_days(first: Column, last: Column) -> Column:
+    """Days of a window, a second at least; 0 without events."""
+    return F.when(first.isNull() | last.isNull(), 0.0).otherwise(F.greatest((F.unix_millis(last) - F.unix_millis(first)) / 86_400_000, F.lit(1 / 86_400)))
+
+
+def detectable_rate(days: Column) -> Column:
+    """Least calls a day that a window of so many days shows, at 95 %."""
+    return F.when(days > 0, 3 / days).otherwise(0.0)
+
+
 def tier(n: Column) -> Column:
     return F.when(n >= 100, "high").otherwise("low")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .cells import fold
-from .views import active_clients
+from .views import active_clients, status_answers
 
 CHANGE = "id int, kind string, operation string, part string, field string, status string, `from` array<string>, `to` array<string>, breaking boolean, source string, direction string"
 
@@ -23,19 +23,11 @@ class Config:
     identity: bool = True
 
 
-def status_answers(cells: DataFrame, declared: DataFrame) -> DataFrame:
-    """(operation, status, answer): the declared response of each status seen, exact before NXX before default."""
-    seen = cells.where("kind = 'STATUS'").select("operation", F.col("status").alias("code")).distinct()
-    text = F.col("code").cast("string")
-    group = F.concat(F.substring(text, 1, 1), F.lit("XX"))
-    rank = F.when(F.col("answer") == text, 0).when(F.col("answer") == group, 1).when(F.col("answer") == F.lower(group), 2).when(F.col("answer") == "default", 3)
-    found = seen.join(F.broadcast(declared), "operation").withColumn("rank", rank).where("rank IS NOT NULL")
-    return found.groupBy("operation", "code").agg(F.min_by("answer", "rank").alias("answer"))
-
-
 def hits(cells: DataFrame, changes: DataFrame, responses: DataFrame) -> DataFrame:
     """(id, client, requests, first_ts, last_ts, evidence) by the rules of each kind of change."""
     ch = F.broadcast(changes.where("breaking"))
+    # Only cells of operations that change matter from here on.
+    cells = cells.join(F.broadcast(changes.where("breaking").select("operation").distinct()), "operation", "left_semi")
     by = ["operation", "client"]
     val = lambda d, *more: d.select("id", "client", F.col("count").alias("requests"), "first_ts", "last_ts", F.lit(more[0]).alias("evidence"))
     calls = fold(cells, "CALL", *by)

@@ -1,4 +1,4 @@
-"""Route matching: paths against templates as a ranked join on distinct targets."""
+"""Route matching: paths against templates, ranked candidates with each row."""
 
 import re
 
@@ -38,16 +38,21 @@ def build_routes(spark: SparkSession, operations: list[tuple[str, str]], base_pa
 
 
 def match(targets: DataFrame, routes: DataFrame, method: str = "method", path: str = "path") -> DataFrame:
-    """targets with op_key (null where nothing fits); each distinct (method, path) is matched once.
+    """targets with op_key, null where nothing fits.
 
-    Routes are as many as a specification's operations, a few thousand at most.
+    The routes of one method and number of segments travel as an array in the order in
+    which they win, so that each row finds its own and nothing is shuffled.  Routes are
+    as many as a specification's operations, a few thousand at most.
     """
+    ranked = F.sort_array(F.collect_list(F.struct("base_rank", "rank", "pattern", "op_key")))
+    known = routes.groupBy(F.col("r_method").alias("_method"), F.col("segments").alias("_segments")).agg(ranked.alias("_routes"))
     clean = F.regexp_replace(F.regexp_replace(F.col(path), r"[?#].*$", ""), "^/?", "/")
-    one = targets.select(F.col(method).alias("m_"), F.col(path).alias("p_"), clean.alias("c_")).distinct()
-    one = one.withColumn("n_", F.when(F.regexp_replace("c_", "/$", "") == "", 0).otherwise(F.size(F.split(F.regexp_replace("c_", "/$", ""), "/")) - 1))
-    hit = one.join(F.broadcast(routes), (F.col("m_") == F.col("r_method")) & (F.col("n_") == F.col("segments")) & F.rlike("c_", F.col("pattern")))
-    best = hit.groupBy("m_", "p_").agg(F.min_by("op_key", F.struct("base_rank", "rank")).alias("op_key"))
-    return targets.join(best, (F.col(method).eqNullSafe(F.col("m_"))) & (F.col(path).eqNullSafe(F.col("p_"))), "left").drop("m_", "p_")
+    bare = F.regexp_replace("_clean", "/$", "")
+    segments = F.when(bare == "", 0).otherwise(F.size(F.split(bare, "/")) - 1)
+    rows = targets.withColumn("_clean", clean).withColumn("_n", segments)
+    rows = rows.join(F.broadcast(known), (F.col(method) == F.col("_method")) & (F.col("_n") == F.col("_segments")), "left")
+    fits = F.filter("_routes", lambda r: F.rlike(F.col("_clean"), r["pattern"]))
+    return rows.withColumn("op_key", F.get(fits, F.lit(0))["op_key"]).drop("_clean", "_n", "_method", "_segments", "_routes")
 
 
 def resolve(events: DataFrame, routes: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ f AS (
     ('request.body', '$.qty', CASE WHEN k % 7 = 0 THEN 'number' ELSE 'integer' END, NULL, method = 'POST'),
     ('request.body', '$.plan', 'string', CASE k % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'team' END, method = 'POST'),
     ('request.body', '$.note', 'string', NULL, method = 'POST' AND k % 5 = 0), ('request.body', '$.email', 'string', NULL, method = 'POST' AND k % 4 <> 0),
+    ('request.body', '$.tags', 'object', NULL, method = 'POST' AND k % 6 = 0), ('request.body', '$.tags.a', CASE WHEN k % 12 = 0 THEN 'string' ELSE 'integer' END, NULL, method = 'POST' AND k % 6 = 0),
     ('request.query', '$.limit', 'string', NULL, method = 'GET' AND k % 2 = 0), ('request.query', '$.sort', 'string', NULL, method = 'GET' AND k % 3 = 0),
     ('request.query', '$.debug', 'string', NULL, method = 'GET' AND k % 11 = 0),
     ('response.body', '$', 'object', NULL, status < 300), ('response.body', '$.id', 'integer', NULL, status < 300),
@@ -72,9 +73,23 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n, t in df.dtypes if t == "timestamp"})
 
 
-_values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
-_DECLARED = _values([(o, p, s, f, "|".join(t), x) for o, p, s, f, t, _, _, x in bridge.OLD.declared()]) + " AS d(operation, part, status, field, types, open)"
-_RESPONSES = _values([(o.key, s) for o in bridge.OLD.operations() for s in o.responses]) + " AS r(operation, answer)"
+#: What the first specification declares, written by hand: fields `d`, responses `r`, the answer of each status with a body `ans`.
+SPEC = """
+item(field, types, open) AS (VALUES ('$', 'object', false), ('$.id', 'integer', true), ('$.servings', 'integer', true), ('$.legacy_id', 'integer', true), ('$.spare', 'string', true)),
+ordered(field, types, open) AS (VALUES ('$', 'object', false), ('$.title', 'string', true), ('$.qty', 'number', true), ('$.plan', 'string', true), ('$.email', 'string', true), ('$.note', 'string', true),
+  ('$.gift', 'boolean', true), ('$.tags', 'object', true), ('$.tags.*', 'integer', true)),
+answers(operation, answer) AS (VALUES ('GET /items/{id}', '200'), ('GET /items/featured', '200'), ('GET /items/{id}/clicks', '200'), ('POST /orders', '201'), ('POST /users', '2XX'), ('GET /reports/{year}', '200')),
+r AS (SELECT * FROM answers UNION ALL SELECT operation, '429' FROM answers WHERE operation LIKE 'GET%' UNION ALL SELECT 'POST /orders', 'default'),
+d AS (
+  SELECT operation, 'response.body' AS part, answer AS status, field, types, open FROM answers, item
+  UNION ALL SELECT operation, 'request.body', '0', field, types, open FROM answers, ordered WHERE operation LIKE 'POST%'
+  UNION ALL SELECT operation, 'request.query', '0', field, 'string', true FROM answers, (VALUES ('$.limit'), ('$.sort')) AS q(field) WHERE operation LIKE 'GET /items%'
+  UNION ALL VALUES ('GET /items/{id}', 'request.path', '0', '$.id', 'integer', true), ('GET /items/{id}/clicks', 'request.path', '0', '$.id', 'integer', true), ('GET /reports/{year}', 'request.path', '0', '$.year', 'integer', true)),
+ans(operation, code, answer) AS (VALUES ('GET /items/{id}', '200', '200'), ('GET /items/featured', '200', '200'), ('GET /items/{id}/clicks', '200', '200'), ('POST /orders', '201', '201'), ('POST /users', '201', '2XX'))"""
+#: Observed fields with the declared path that they fall under: values of the one map are `.*`.
+PLACED = """,
+placed AS (SELECT f.*, CASE WHEN part = 'response.body' THEN ans.answer ELSE '0' END AS answer, regexp_replace(field, '^\\$\\.tags\\..*', '$.tags.*') AS at
+  FROM f LEFT JOIN ans ON ans.operation = op AND ans.code = CAST(st AS VARCHAR))"""
 
 
 # Scalars and scans.
@@ -197,10 +212,10 @@ def type_counts(spark, sf_dir):
     return views.field_types(bridge.cube(spark, sf_dir))
 
 
-@query("SELECT op AS operation, part, field, val AS value, count(*) AS count, count(DISTINCT who) AS clients FROM f WHERE val IS NOT NULL GROUP BY ALL")
+@query("SELECT op AS operation, part, field, val AS value, count(*) AS count, count(DISTINCT CASE WHEN who <> '' THEN who END) AS clients FROM f WHERE val IS NOT NULL GROUP BY ALL")
 def enum_values(spark, sf_dir):
     v = bridge.cube(spark, sf_dir).where("kind = 'VALUE'")
-    return v.groupBy("operation", "part", "field", F.col("detail").alias("value")).agg(F.sum("count").alias("count"), F.countDistinct("client").alias("clients"))
+    return v.groupBy("operation", "part", "field", F.col("detail").alias("value")).agg(F.sum("count").alias("count"), F.countDistinct(F.when(F.col("client") != "", F.col("client"))).alias("clients"))
 
 
 @query(
@@ -213,9 +228,20 @@ def latency_percentiles(spark, sf_dir):
     return views.latency_percentiles(bridge.cube(spark, sf_dir))
 
 
-@query("SELECT client, count(*) AS calls, count(DISTINCT day) AS days, min(ts) AS first_ts, max(ts) AS last_ts FROM m WHERE client <> '' GROUP BY client ORDER BY last_ts DESC, client LIMIT 500")
+@query(
+    """, e AS (SELECT client, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM t WHERE client <> '' GROUP BY client ORDER BY last_ts DESC, client LIMIT 500),
+y AS (SELECT client, string_agg(day || '=' || n, ',' ORDER BY day) AS days FROM (SELECT client, day, count(*) AS n FROM m GROUP BY ALL) GROUP BY client),
+o AS (SELECT client, string_agg(op || '=' || n, ',' ORDER BY op) AS operations FROM (SELECT client, op, count(*) AS n FROM m GROUP BY ALL) GROUP BY client)
+SELECT e.*, days, operations FROM e LEFT JOIN y USING (client) LEFT JOIN o USING (client)"""
+)
 def client_timeline(spark, sf_dir):
-    return _plain(views.client_timeline(bridge.cube(spark, sf_dir)))
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda x: F.concat(x["key"].cast("string"), F.lit("="), x["value"])), ",")
+    return _plain(views.client_timeline(bridge.cube(spark, sf_dir)).withColumns({"days": text("days"), "operations": text("operations")}))
+
+
+@query("SELECT op AS operation, client, count(*) AS count, CAST(row_number() OVER (PARTITION BY op ORDER BY count(*) DESC, client) AS INTEGER) AS place FROM m WHERE client <> '' GROUP BY op, client QUALIFY place <= 20")
+def top_callers(spark, sf_dir):
+    return views.top_callers(bridge.cube(spark, sf_dir), 20)
 
 
 @query(", d AS (SELECT day, count(*) AS calls FROM m GROUP BY day) SELECT CAST(g.day AS DATE) AS day, coalesce(calls, 0) AS calls FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON d.day = CAST(g.day AS DATE)")
@@ -232,44 +258,51 @@ def active_clients(spark, sf_dir):
 
 
 @query(
-    f""", s AS (SELECT op, part, CAST(st AS VARCHAR) AS st, field, count(*) AS n FROM f GROUP BY ALL)
-SELECT coalesce(d.operation, s.op) AS operation, coalesce(d.part, s.part) AS part, coalesce(d.status, s.st) AS status, coalesce(d.field, s.field) AS field, coalesce(n, 0) AS count,
-  CASE WHEN d.field IS NULL THEN 'undocumented' WHEN n IS NULL THEN 'never_seen' ELSE 'documented_and_used' END AS state
-FROM {_DECLARED} FULL JOIN s ON d.operation = s.op AND d.part = s.part AND d.status = s.st AND d.field = s.field"""
+    "," + SPEC + """, s AS (SELECT op, part, CAST(st AS VARCHAR) AS st, field, count(*) AS n FROM f WHERE field <> '$' GROUP BY ALL),
+w AS (SELECT operation, part, status, field FROM d WHERE part <> 'request.path' AND field <> '$'
+  UNION SELECT d.operation, part, code, field FROM d JOIN ans ON ans.operation = d.operation AND ans.answer = d.status WHERE part = 'response.body' AND field <> '$')
+SELECT coalesce(w.operation, s.op) AS operation, coalesce(w.part, s.part) AS part, coalesce(w.status, s.st) AS status, coalesce(w.field, s.field) AS field, coalesce(n, 0) AS count,
+  CASE WHEN w.field IS NULL THEN 'undocumented' WHEN n IS NULL THEN 'never_seen' ELSE 'documented_and_used' END AS state
+FROM w FULL JOIN s ON w.operation = s.op AND w.part = s.part AND w.status = s.st AND w.field = s.field"""
 )
 def contract_fields(spark, sf_dir):
-    return views.contract_fields(bridge.cube(spark, sf_dir), bridge.spec_tables(spark)["declared"])
+    t = bridge.spec_tables(spark)
+    return views.contract_fields(bridge.cube(spark, sf_dir), t["declared"], t["responses"])
 
 
-@query("SELECT op AS operation, part, CAST(st AS VARCHAR) AS status, field, count(*) AS count FROM f WHERE field = '$.internal_score' GROUP BY ALL")
+def _drift(of, spark, sf_dir, *more):
+    t = bridge.spec_tables(spark)
+    return of(bridge.cube(spark, sf_dir), t["declared"], t["responses"], *more)
+
+
+@query("," + SPEC + PLACED + " SELECT op AS operation, part, CAST(st AS VARCHAR) AS status, field, count(*) AS count FROM placed p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.operation = op AND d.part = p.part AND d.status = p.answer AND d.field = p.at) GROUP BY ALL")
 def drift_undocumented_fields(spark, sf_dir):
-    return drift.undocumented_fields(bridge.cube(spark, sf_dir), bridge.spec_tables(spark)["declared"]).drop("of", "presence")
+    return _drift(drift.undocumented_fields, spark, sf_dir).drop("of", "presence")
 
 
 @query(
-    f"SELECT op AS operation, f.part, CAST(st AS VARCHAR) AS status, f.field, count(*) AS count, string_agg(DISTINCT type, '|' ORDER BY type) AS observed FROM f JOIN {_DECLARED} ON d.operation = op AND d.part = f.part AND d.status = CAST(st AS VARCHAR) AND d.field = f.field WHERE d.types <> '' AND NOT list_contains(string_split(d.types, '|'), type) AND NOT (type = 'integer' AND list_contains(string_split(d.types, '|'), 'number')) GROUP BY ALL"
+    "," + SPEC + PLACED + """ SELECT op AS operation, p.part, CAST(st AS VARCHAR) AS status, p.field, count(*) AS count, string_agg(DISTINCT type, '|' ORDER BY type) AS observed
+FROM placed p JOIN d ON d.operation = op AND d.part = p.part AND d.status = p.answer AND d.field = p.at WHERE p.part <> 'request.query' AND type <> d.types AND NOT (type = 'integer' AND d.types = 'number') GROUP BY ALL"""
 )
 def drift_type_mismatches(spark, sf_dir):
-    return drift.type_mismatches(bridge.cube(spark, sf_dir), bridge.spec_tables(spark)["declared"])
+    return _drift(drift.type_mismatches, spark, sf_dir)
 
 
 @query(
-    f""", o AS (SELECT op, part, CAST(st AS VARCHAR) AS st, count(*) AS n FROM f WHERE field = '$' GROUP BY ALL HAVING count(*) >= 20)
-SELECT operation, d.part, d.status, d.field, n AS "of", round(1 - pow(0.05, 1.0 / n), 6) AS bound FROM {_DECLARED} JOIN o ON d.operation = o.op AND d.part = o.part AND d.status = o.st
-WHERE d.field <> '$' AND NOT EXISTS (SELECT 1 FROM f WHERE f.op = d.operation AND f.part = d.part AND CAST(f.st AS VARCHAR) = d.status AND f.field = d.field)"""
+    "," + SPEC + PLACED + """, o AS (SELECT op, part, CAST(st AS VARCHAR) AS st, answer, field, count(*) AS n FROM placed WHERE type = 'object' GROUP BY ALL HAVING count(*) >= 20 UNION ALL SELECT op, 'request.query', '0', '0', NULL, count(*) FROM m GROUP BY op HAVING count(*) >= 20)
+SELECT d.operation, d.part, o.st AS status, d.field, n AS "of", round(1 - pow(0.05, 1.0 / n), 6) AS bound FROM d JOIN o ON d.operation = o.op AND d.part = o.part AND d.status = o.answer
+WHERE d.field <> '$' AND d.field <> '$.tags.*' AND (o.field = '$' OR o.field IS NULL) AND NOT EXISTS (SELECT 1 FROM f WHERE f.op = d.operation AND f.part = d.part AND CAST(f.st AS VARCHAR) = o.st AND f.field = d.field)"""
 )
 def drift_unused_fields(spark, sf_dir):
-    return drift.unused_fields(bridge.cube(spark, sf_dir), bridge.spec_tables(spark)["declared"], 20).withColumn("bound", F.round("bound", 6))
+    return _drift(drift.unused_fields, spark, sf_dir, 20).withColumn("bound", F.round("bound", 6))
 
 
-@query(
-    f"SELECT op AS operation, status AS code, count(*) AS count, CASE WHEN status >= 500 THEN 'info' ELSE 'warning' END AS level FROM m WHERE NOT EXISTS (SELECT 1 FROM {_RESPONSES} WHERE r.operation = op AND (r.answer = CAST(status AS VARCHAR) OR r.answer = 'default' OR upper(r.answer) = substr(CAST(status AS VARCHAR), 1, 1) || 'XX')) GROUP BY ALL"
-)
+@query("," + SPEC + " SELECT op AS operation, status AS code, count(*) AS count, CASE WHEN status >= 500 THEN 'info' ELSE 'warning' END AS level FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.operation = op AND (r.answer = CAST(status AS VARCHAR) OR r.answer = 'default' OR r.answer = substr(CAST(status AS VARCHAR), 1, 1) || 'XX')) GROUP BY ALL")
 def drift_undocumented_statuses(spark, sf_dir):
     return drift.undocumented_statuses(bridge.cube(spark, sf_dir), bridge.spec_tables(spark)["responses"])
 
 
-@query(f"SELECT DISTINCT operation FROM {_RESPONSES} WHERE operation NOT IN (SELECT op FROM m)")
+@query("," + SPEC + " SELECT DISTINCT operation FROM r WHERE operation NOT IN (SELECT op FROM m)")
 def drift_unused_operations(spark, sf_dir):
     return drift.unused_operations(bridge.cube(spark, sf_dir), bridge.spec_tables(spark)["operations"]).select("operation")
 
@@ -282,7 +315,7 @@ _HITS = """, hits AS (
   UNION ALL SELECT id, client, count(*) - count(*) FILTER (k % 4 <> 0), min(ts), max(ts), 'OBSERVED' FROM ch JOIN m ON m.op = ch.operation WHERE ch.kind = 'request_field_made_required' GROUP BY id, client HAVING count(*) > count(*) FILTER (k % 4 <> 0)
   UNION ALL SELECT id, client, count(*) FILTER (type = 'number'), min(ts), max(ts), 'OBSERVED' FROM ch JOIN f ON f.op = ch.operation AND f.part = ch.part AND f.field = ch.field WHERE ch.kind = 'request_type_changed' GROUP BY id, client HAVING count(*) FILTER (type = 'number') > 0
   UNION ALL SELECT id, client, count(*), min(ts), max(ts), 'OBSERVED' FROM ch JOIN f ON f.op = ch.operation AND f.part = ch.part AND f.field = ch.field WHERE ch.kind = 'request_enum_narrowed' AND val = 'team' GROUP BY ALL
-  UNION ALL SELECT id, client, count(*), min(ts), max(ts), 'POTENTIAL' FROM ch JOIN m ON m.op = ch.operation AND (CAST(m.status AS VARCHAR) = ch.status OR (ch.status = 'default' AND m.status <> 201)) WHERE ch.kind LIKE 'response%' GROUP BY ALL),
+  UNION ALL SELECT id, client, count(*), min(ts), max(ts), 'POTENTIAL' FROM ch JOIN m ON m.op = ch.operation AND (CAST(m.status AS VARCHAR) = ch.status OR (ch.status = '2XX' AND m.status BETWEEN 200 AND 299)) WHERE ch.kind LIKE 'response%' GROUP BY ALL),
 en AS (SELECT max(ts) AS "end" FROM t),
 act AS (SELECT count(*) AS active FROM (SELECT client FROM t WHERE client <> '' GROUP BY client HAVING max(ts) >= (SELECT "end" FROM en) - INTERVAL 3 DAY)),
 e AS (SELECT ch.id, ch.kind, ch.operation, ch.field, ch.grp, CAST(coalesce(sum(requests), 0) AS BIGINT) AS requests, count(client) FILTER (client <> '') AS clients,
@@ -291,11 +324,20 @@ e AS (SELECT ch.id, ch.kind, ch.operation, ch.field, ch.grp, CAST(coalesce(sum(r
   FROM ch CROSS JOIN en CROSS JOIN act LEFT JOIN hits ON hits.id = ch.id GROUP BY ALL),
 sev AS (SELECT *, CASE WHEN clients = 0 THEN 6 WHEN recent > 0 AND recent / active >= 0.5 THEN 1 WHEN recent >= 3 OR (recent > 0 AND recent / active >= 0.1) THEN 2 WHEN recent >= 1 THEN 3 WHEN stale >= 1 THEN 4 ELSE 5 END AS lvl FROM e),
 named AS (SELECT *, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'DORMANT', 'NONE_OBSERVED'][lvl] AS severity FROM sev)"""
-from ..operators.diff import diff as _diff  # noqa: E402
-
-_CHANGES = [r for r in _diff(bridge.OLD, bridge.NEW) if r[8]]
-_CH = ", ch AS (SELECT * FROM " + _values([(r[0], r[1], r[2], r[3], r[4], r[5], "|".join((r[9], r[1], (r[4] or "").rsplit(".", 1)[-1], r[10]))) for r in _CHANGES]) + " AS c(id, kind, operation, part, field, status, grp))"
-_RANKED = _CH + _HITS
+#: The breaking changes between both specifications, written by hand; numbers as in the list of all changes, which here are the same.
+CHANGES = """
+ch(id, kind, operation, part, field, status) AS (VALUES
+  (0, 'request_field_removed', 'GET /items/{id}', 'request.query', '$.limit', NULL), (1, 'response_field_removed', 'GET /items/{id}', 'response.body', '$.legacy_id', '200'),
+  (2, 'request_field_removed', 'GET /items/featured', 'request.query', '$.limit', NULL), (3, 'response_field_removed', 'GET /items/featured', 'response.body', '$.legacy_id', '200'),
+  (4, 'response_status_removed', 'GET /items/featured', 'response.body', NULL, '429'), (5, 'operation_removed', 'GET /items/{id}/clicks', NULL, NULL, NULL),
+  (6, 'request_type_changed', 'POST /orders', 'request.body', '$.qty', NULL), (7, 'request_enum_narrowed', 'POST /orders', 'request.body', '$.plan', NULL),
+  (8, 'request_field_made_required', 'POST /orders', 'request.body', '$.email', NULL), (9, 'request_field_removed', 'POST /orders', 'request.body', '$.note', NULL),
+  (10, 'response_field_removed', 'POST /orders', 'response.body', '$.legacy_id', '201'),
+  (11, 'request_type_changed', 'POST /users', 'request.body', '$.qty', NULL), (12, 'request_enum_narrowed', 'POST /users', 'request.body', '$.plan', NULL),
+  (13, 'request_field_made_required', 'POST /users', 'request.body', '$.email', NULL), (14, 'request_field_removed', 'POST /users', 'request.body', '$.note', NULL),
+  (15, 'response_field_removed', 'POST /users', 'response.body', '$.legacy_id', '2XX'), (16, 'response_field_removed', 'GET /reports/{year}', 'response.body', '$.legacy_id', '200')),
+grouped AS (SELECT *, CASE WHEN part = 'request.query' OR field IS NULL THEN operation ELSE '' END || '|' || kind || '|' || coalesce(field, '') AS grp FROM ch)"""
+_RANKED = "," + CHANGES + _HITS.replace("ch.grp", "grp").replace("FROM ch CROSS JOIN en", "FROM grouped ch CROSS JOIN en")
 
 
 def _impact(spark, sf_dir):
@@ -307,7 +349,7 @@ def _impact(spark, sf_dir):
 SELECT n.id, n.kind, n.operation, n.field, evidence, severity, requests, clients, recent, stale, last_ts, touched AS operations_touched,
   CAST(row_number() OVER (ORDER BY evidence = 'POTENTIAL', lvl, recent DESC, last_ts DESC NULLS LAST, requests DESC, n.id) AS INTEGER) AS rank,
   CAST(row_number() OVER (ORDER BY touched DESC, n.id) AS INTEGER) AS rank_spec_only
-FROM named n JOIN (SELECT grp, count(DISTINCT operation) AS touched FROM ch GROUP BY grp) g ON g.grp = n.grp"""
+FROM named n JOIN (SELECT grp, count(DISTINCT operation) AS touched FROM grouped GROUP BY grp) g ON g.grp = n.grp"""
 )
 def impact_ranked(spark, sf_dir):
     rows = _impact(spark, sf_dir)
@@ -330,21 +372,23 @@ def gate_check(spark, sf_dir):
     return impact.gate(_impact(spark, sf_dir), 1, 40.0, "CRITICAL").select("id", "kind", "operation")
 
 
-@query(f"SELECT id, kind, operation, part, field, status FROM {_values([r[:6] for r in _CHANGES])} AS c(id, kind, operation, part, field, status)", base=False)
+@query("WITH" + CHANGES + " SELECT * FROM ch", base=False)
 def diff_breaking(spark, sf_dir):
     return bridge.changes(spark).where("breaking").select("id", "kind", "operation", "part", "field", "status")
 
 
 @query(
-    """, links AS (SELECT op, client, count(*) AS calls FROM m WHERE client <> '' GROUP BY ALL), heavy AS (SELECT client FROM links GROUP BY client ORDER BY sum(calls) DESC, client LIMIT 14)
-SELECT op AS operation, CASE WHEN client IN (SELECT client FROM heavy) THEN client ELSE 'other' END AS client, CAST(sum(calls) AS BIGINT) AS calls FROM links GROUP BY ALL"""
+    _RANKED + """, ranked AS (SELECT id, operation, requests, row_number() OVER (ORDER BY evidence = 'POTENTIAL', lvl, recent DESC, last_ts DESC NULLS LAST, requests DESC, id) AS rank FROM named),
+top AS (SELECT id, client, requests FROM hits WHERE client <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY requests DESC, client) <= 10),
+first10 AS (SELECT id, operation FROM ranked WHERE requests > 0 AND id IN (SELECT id FROM top) ORDER BY rank LIMIT 10),
+links AS (SELECT id, operation, client, requests FROM top JOIN first10 USING (id)), heavy AS (SELECT client FROM links GROUP BY client ORDER BY sum(requests) DESC, client LIMIT 14)
+SELECT id, operation, CASE WHEN client IN (SELECT client FROM heavy) THEN client ELSE 'other' END AS client, CAST(sum(requests) AS BIGINT) AS requests FROM links GROUP BY ALL"""
 )
 def blast_radius(spark, sf_dir):
-    """Links of operations and their heaviest clients; the rest as one."""
-    links = cells.fold(bridge.cube(spark, sf_dir).where("client <> ''"), "CALL", "operation", "client")
-    heavy = links.groupBy("client").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "client").limit(14).select("client", F.lit(True).alias("kept"))
-    named = links.join(F.broadcast(heavy), "client", "left").withColumn("client", F.when(F.col("kept"), F.col("client")).otherwise("other"))
-    return named.groupBy("operation", "client").agg(F.sum("count").alias("calls"))
+    cube = bridge.cube(spark, sf_dir, keep=True)
+    answers = bridge.spec_tables(spark)["responses"]
+    top = impact.top_clients(impact.hits(cube, bridge.changes(spark), answers))
+    return views.blast_radius(_impact(spark, sf_dir), top.select("id", "client", "requests"))
 
 
 _MATRIX = [("GET /items/{id}", "request.query", "$.limit"), ("GET /items/{id}", "request.query", "$.sort"), ("POST /orders", "request.body", "$.note"), ("POST /orders", "request.body", "$.email")]
@@ -355,12 +399,20 @@ def client_field_matrix(spark, sf_dir):
     return views.matrix(bridge.cube(spark, sf_dir), _MATRIX)
 
 
-@query(", s AS (SELECT op, max(CASE WHEN status >= 500 THEN 2 WHEN status >= 400 THEN 1 ELSE 0 END) AS state, count(*) AS calls FROM m GROUP BY op) SELECT op AS operation, state, calls, round(ln(calls + 1), 6) AS size FROM s")
+@query(", n AS (SELECT op, count(*) AS calls FROM m GROUP BY op) SELECT op AS operation, op <> 'GET /reports/{year}' AS changed, calls, CAST(row_number() OVER (ORDER BY calls DESC, op) AS INTEGER) AS place FROM n")
+def matrix_operations(spark, sf_dir):
+    return views.matrix_operations(bridge.cube(spark, sf_dir), bridge.changes(spark))
+
+
+@query(
+    _RANKED + """, s AS (SELECT operation, max(CASE WHEN evidence = 'OBSERVED' AND requests > 0 THEN 'breaking_observed' ELSE 'breaking_potential' END) AS low, bool_or(evidence = 'OBSERVED' AND requests > 0) AS seen FROM named GROUP BY operation),
+n AS (SELECT op, count(*) AS calls FROM m GROUP BY op)
+SELECT operation, CASE WHEN seen THEN 'breaking_observed' ELSE 'breaking_potential' END AS state, coalesce(calls, 0) AS calls, round(ln(1 + coalesce(calls, 0)), 6) AS size,
+  CASE operation WHEN 'GET /items/{id}/clicks' THEN '/items/{id}' END AS parent FROM s LEFT JOIN n ON op = operation"""
+)
 def api_map(spark, sf_dir):
-    s = cells.fold(bridge.cube(spark, sf_dir), "STATUS", "operation", "status")
-    state = F.when(F.col("status") >= 500, 2).when(F.col("status") >= 400, 1).otherwise(0)
-    s = s.groupBy("operation").agg(F.max(state).alias("state"), F.sum("count").alias("calls"))
-    return s.withColumn("size", F.round(F.log1p("calls"), 6))
+    rows = views.api_map(bridge.cube(spark, sf_dir), bridge.spec_tables(spark)["operations"], bridge.changes(spark), _impact(spark, sf_dir))
+    return rows.withColumn("size", F.round("size", 6))
 
 
 # Shapes of JSON and statistics.
@@ -448,8 +500,6 @@ def report_json(spark, sf_dir):
     return rows.select("rank", F.to_json(F.struct("id", "kind", "operation", "part", "field", "evidence", "severity", F.struct("clients", "requests", "recent", "stale", "share_recent", "first_ts", "last_ts").alias("exposure"))).alias("report"))
 
 
-@query("SELECT DISTINCT operation, part, status, field, types, open FROM " + _DECLARED, base=False)
+@query("WITH" + SPEC + " SELECT operation, part, status, field, types, open FROM d", base=False)
 def declared_fields(spark, sf_dir):
     return bridge.spec_tables(spark)["declared"].select("operation", "part", "status", "field", F.array_join("types", "|").alias("types"), "open")
-
-

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed values of the format: methods of a path, JSON types.
 METHODS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
 TYPES = ["string", "integer", "number", "boolean", "null", "object", "array"]
 DEPTH, MOST_FIELDS = 6, 300
@@ -25,8 +26,8 @@ def load(text: str) -> dict:
         yaml_implicit_resolvers = {}
 
     for tag, pattern, first in (
-        ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"), ("int", r"^[-+]?[0-9]+$", "-+0123456789"),
-        ("float", r"^[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$", "-+.0123456789"), ("null", r"^(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]), ("merge", r"^<<$", "<"),
+        ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"), ("int", r"^[-+]?(?:0|[1-9][0-9]*)$", "-+0123456789"),
+        ("float", r"^[-+]?(?:\.[0-9]+|(?:0|[1-9][0-9]*)(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$", "-+.0123456789"), ("null", r"^(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]), ("merge", r"^<<$", "<"),
     ):
         Loader.add_implicit_resolver(f"tag:yaml.org,2002:{tag}", re.compile(pattern), list(first))
     return yaml.load(text, Loader)
@@ -178,6 +179,8 @@ class Spec:
                     walk(child, child_path(path, name), depth + 1, name in v.required, (*on_path, node))
             if v.items is not None:
                 walk(v.items, path + "[]", depth + 1, False, (*on_path, node))
+            if isinstance(v.additional, dict):
+                walk(v.additional, path + ".*", depth + 1, False, (*on_path, node))
 
         if schema is not None:
             walk(schema, "$", 0, True, ())
