@@ -54,6 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def settled(spark: SparkSession) -> None:
     """Shuffle files go once nothing refers to them: collect now, so that those of finished steps don't add up."""
+    spark.range(1).groupBy("id").count().collect()  # Spark holds on to what it ran last
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
