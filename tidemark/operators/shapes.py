@@ -1,12 +1,16 @@
-"""Field paths and types of JSON texts, by unrolled explosions of variants."""
+"""Field paths, types and enum values of JSON texts, level by level within each row: no explosion, no shuffle."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+#: Levels below the root, paths of a body, values of a field.
+DEPTH, MOST_PATHS, MOST_VALUES = 10, 500, 16
+NODES = "array<struct<path:string,v:variant>>"
 
-def _type(v):
+
+def _type(v: Column) -> Column:
     s = F.schema_of_variant(v)
     number = F.try_variant_get(v, "$", "double")
     return (
@@ -15,24 +19,43 @@ def _type(v):
     )
 
 
-def shapes(df: DataFrame, key: str, body: str, depth: int = 10, most: int = 500) -> DataFrame:
-    """Rows (key, path, types) for every field path of a JSON text; array indexes collapse to [].
+def _children(node: Column) -> Column:
+    """What an object or array holds, as nodes; an object's names make paths, array places all are []."""
+    named = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
+    listed = F.try_variant_get(node["v"], "$", "array<variant>")
+    inner = F.transform(named, lambda e: F.struct(C.child_path(node["path"], e["key"]).alias("path"), e["value"].alias("v")))
+    items = F.transform(listed, lambda x: F.struct(F.concat(node["path"], F.lit("[]")).alias("path"), x.alias("v")))
+    return F.coalesce(inner, items, F.array().cast(NODES))
+
+
+def with_shape(df: DataFrame, body: str, out: str, enums: str | None = None, depth: int = DEPTH, most: int = MOST_PATHS) -> DataFrame:
+    """df with `out`: struct of fields (path, types, values) and truncated; null where the text is no JSON.
 
-    Texts that are no JSON give no rows.  Paths beyond depth are left out; of more
-    than `most` paths in a text the first in path order stay.
+    enums names a column of the paths whose scalars are kept as values, at most MOST_VALUES of each.
+    Of more than `most` paths those that come first stay, from the root down; what lies deeper than
+    `depth` is left out; either sets truncated.
     """
-    level = df.select(F.col(key), F.try_parse_json(F.col(body)).alias("v"), F.lit("$").alias("path")).where("v IS NOT NULL")
-    parts = []
-    for d in range(depth + 1):
-        parts.append(level.select(key, "path", _type(F.col("v")).alias("type")))
-        if d < depth:
-            level.createOrReplaceTempView("_shape_level")
-            inner = df.sparkSession.sql(f"SELECT l.`{key}`, l.path, c.key AS name, c.value AS v FROM _shape_level AS l, LATERAL variant_explode(l.v) AS c")
-            level = inner.select(key, "v", F.when(F.col("name").isNull(), F.concat("path", F.lit("[]"))).otherwise(C.child_path(F.col("path"), F.col("name"))).alias("path"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
-    out = rows.groupBy(key, "path").agg(F.sort_array(F.collect_set("type")).alias("types"))
-    from pyspark.sql import Window
-
-    return out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("path"))).where(F.col("_n") <= most).drop("_n")
+    root = F.try_parse_json(F.col(body))
+    df = df.withColumn("_0", F.when(root.isNotNull(), F.array(F.struct(F.lit("$").alias("path"), root.alias("v")))))
+    for d in range(depth):
+        df = df.withColumn(f"_{d + 1}", F.flatten(F.transform(f"_{d}", _children)))
+    kept = lambda n: F.when(F.array_contains(F.col(enums), n["path"]) & ~_type(n["v"]).isin("null", "object", "array"), F.try_variant_get(n["v"], "$", "string")) if enums else F.lit(None).cast("string")
+    flat = lambda d: F.transform(f"_{d}", lambda n: F.struct(n["path"].alias("path"), _type(n["v"]).alias("type"), kept(n).alias("value")))
+    df = df.withColumn("_nodes", F.concat(*[flat(d) for d in range(depth + 1)]))
+    df = df.withColumn("_deeper", F.size(F.flatten(F.transform(f"_{depth}", _children))) > 0)
+    df = df.withColumn("_paths", F.array_distinct(F.transform("_nodes", lambda n: n["path"])))
+
+    def field(p: Column) -> Column:
+        own = F.filter("_nodes", lambda n: n["path"] == p)
+        values = F.slice(F.array_distinct(F.array_compact(F.transform(own, lambda n: n["value"]))), 1, MOST_VALUES)
+        return F.struct(p.alias("path"), F.array_sort(F.array_distinct(F.transform(own, lambda n: n["type"]))).alias("types"), F.when(F.size(values) > 0, values).alias("values"))
+
+    fields = F.transform(F.slice("_paths", 1, most), field)
+    shape = F.when(F.col("_nodes").isNotNull(), F.struct(fields.alias("fields"), (F.col("_deeper") | (F.size("_paths") > most)).alias("truncated")))
+    return df.withColumn(out, shape).drop("_nodes", "_deeper", "_paths", *[f"_{d}" for d in range(depth + 1)])
+
+
+def shapes(df: DataFrame, key: str, body: str, depth: int = DEPTH, most: int = MOST_PATHS) -> DataFrame:
+    """Rows (key, path, types) for every field path of a JSON text; texts that are no JSON give no rows."""
+    rows = with_shape(df.select(key, body), body, "_shape", None, depth, most).select(key, F.explode("_shape.fields").alias("f"))
+    return rows.select(key, "f.path", "f.types")

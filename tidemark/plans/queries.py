@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import cells, drift, impact, shapes, statistics, views
+from ..operators import cells, drift, impact, report, routes, sanitise, shapes, statistics, views
 from ..sources import traffic as T
 from . import bridge
 
@@ -420,7 +420,7 @@ def api_map(spark, sf_dir):
 
 @query(
     """
-WITH r AS (SELECT o_orderkey AS key, l.* FROM orders o LEFT JOIN lineitem l ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 1)
+WITH r AS (SELECT o_orderkey AS key, l.* FROM orders o LEFT JOIN lineitem l ON l_orderkey = o_orderkey)
 SELECT key, path, types FROM (
   SELECT DISTINCT key, '$' AS path, 'object' AS types FROM r UNION ALL SELECT DISTINCT key, '$.key', 'integer' FROM r UNION ALL SELECT DISTINCT key, '$.lines', 'array' FROM r
   UNION ALL SELECT DISTINCT key, '$.lines[]', 'object' FROM r WHERE l_orderkey IS NOT NULL UNION ALL SELECT DISTINCT key, '$.lines[].flag', 'string' FROM r WHERE l_orderkey IS NOT NULL
@@ -429,7 +429,7 @@ UNION ALL SELECT key, '$.lines[].discount', 'integer|number' FROM r WHERE l_orde
     base=False,
 )
 def shape_extract(spark, sf_dir):
-    """Field paths and types of all orders' JSON bodies; the SQL covers those of key 1 modulo 10."""
+    """Field paths and types of all orders' JSON bodies."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"))
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("key"), F.struct(F.col("l_returnflag").alias("flag"), F.col("l_discount").cast("double").alias("discount")).alias("x"))
     lines = item.groupBy("key").agg(F.collect_list("x").alias("lines"))
@@ -484,7 +484,10 @@ def learning_curve(spark, sf_dir):
     return statistics.learning_curve(p, "presence", [1, 10, 100]).select("field", "n", F.round("predicted", 6).alias("predicted"))
 
 
-@query()
+_PAGE_PATHS = ORACLE_SQL["redact_path"]
+
+
+@query(f"SELECT TIMESTAMP '2026-09-30 08:00:00' AS ts, 'GET' AS method, path, 200 AS status, 31.5::DOUBLE AS latency_ms, false AS skipped FROM ({_PAGE_PATHS})", base=False)
 def har_scan(spark, sf_dir):
     """Pages as HAR archives of one entry each, scanned again."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -493,11 +496,52 @@ def har_scan(spark, sf_dir):
     return _plain(e.select("ts", "method", C.redact_path(C.url_path(F.col("url"))).alias("path"), "status", "latency_ms", "skipped"))
 
 
+@query("SELECT kind, operation, part, status, CASE WHEN kind = 'UNMATCHED' THEN regexp_replace(field, '[0-9]+$', '{*}') ELSE field END AS field, detail, client, day, CAST(sum(count) AS BIGINT) AS count, min(first_ts) AS first_ts, max(last_ts) AS last_ts FROM cells GROUP BY ALL")
+def har_cells(spark, sf_dir):
+    """Each user's traffic as a HAR archive with headers, query strings and bodies, sanitised to events and counted."""
+    t = bridge.spec_tables(spark)
+    found = sanitise.sanitise(T.har_entries(bridge.archives(spark, sf_dir)), bridge.known_routes(spark), t["declared"], t["responses"], bridge.SALT, "header", "X-User")
+    return _plain(cells.build_cells(routes.resolve(found, bridge.known_routes(spark))))
+
+
+@query(
+    _RANKED + """, n AS (SELECT op, count(*) AS n FROM m GROUP BY op)
+SELECT id, kind, coalesce(n, 0) AS events_in_scope, round(CASE WHEN n > 0 THEN 1 - pow(0.05, 1.0 / n) END, 6) AS unseen_rate_upper_95, CASE WHEN n >= 100 THEN 'high' ELSE 'low' END AS tier FROM ch LEFT JOIN n ON op = operation"""
+)
+def impact_confidence(spark, sf_dir):
+    cube = bridge.cube(spark, sf_dir)
+    days = fold_days(cube)
+    rows = report.confidence(bridge.changes(spark).where("breaking"), cube, days)
+    return rows.select("id", "kind", "events_in_scope", F.round("unseen_rate_upper_95", 6).alias("unseen_rate_upper_95"), "tier")
+
+
+def fold_days(cube: DataFrame) -> DataFrame:
+    e = cells.fold(cube, "EVENT", "kind")
+    return e.select(C.window_days(F.col("first_ts").cast("timestamp"), F.col("last_ts").cast("timestamp")).alias("window_days"))
+
+
+@query(
+    """, w AS (SELECT count(*) AS events, count(*) FILTER (client <> '') AS identified, count(op) AS matched_events, count(*) - count(op) AS unmatched_events, min(ts) AS first_event, max(ts) AS last_event FROM t)
+SELECT *, (SELECT count(*) FROM (SELECT client FROM t WHERE client <> '' GROUP BY client HAVING max(ts) >= (SELECT max(ts) FROM t) - INTERVAL 3 DAY)) AS active_clients, 17 AS changes_total, 17 AS breaking_total,
+  round((epoch_ms(last_event) - epoch_ms(first_event)) / 86400000.0, 6) AS window_days, round(3 / ((epoch_ms(last_event) - epoch_ms(first_event)) / 86400000.0), 6) AS min_detectable_rate_per_day, CAST(4 AS INTEGER) AS limitations FROM w"""
+)
+def report_header(spark, sf_dir):
+    """The report's header; of its limitations the number: one each on responses, unnamed events, rare clients, and what isn't compared."""
+    cube = bridge.cube(spark, sf_dir)
+    head = report.header(cube, bridge.changes(spark), views.active_clients(cube, 3), bridge.CONFIG)
+    return _plain(head.withColumns({"window_days": F.round("window_days", 6), "min_detectable_rate_per_day": F.round("min_detectable_rate_per_day", 6), "limitations": F.size("limitations")}))
+
+
 @query()
 def report_json(spark, sf_dir):
-    """The report as one JSON text a change, in rank order."""
-    rows = _impact(spark, sf_dir)
-    return rows.select("rank", F.to_json(F.struct("id", "kind", "operation", "part", "field", "evidence", "severity", F.struct("clients", "requests", "recent", "stale", "share_recent", "first_ts", "last_ts").alias("exposure"))).alias("report"))
+    """The whole report as one JSON text; its rows, header and drift have queries with SQL of their own."""
+    cube, t = bridge.cube(spark, sf_dir, keep=True), bridge.spec_tables(spark)
+    rows = impact.impact(cube, bridge.changes(spark), t["responses"], bridge.CONFIG)
+    said = report.describe(*map(F.col, ("kind", "operation", "part", "field", "status", "from", "to")))
+    rows = report.confidence(rows.withColumn("description", said), cube, fold_days(cube)).select("rank", "rank_spec_only", "id", "kind", "operation", "part", "field", "description", "evidence", "severity", "clients", "requests", "recent", "stale", "share_recent", "operations_touched", "events_in_scope", "unseen_rate_upper_95", "tier")
+    findings = drift.undocumented_fields(cube, t["declared"], t["responses"]).select(F.lit("undocumented_field").alias("kind"), "operation", "part", "status", "field", "count")
+    head = report.header(cube, bridge.changes(spark), views.active_clients(cube, 3), bridge.CONFIG)
+    return report.document(head, rows, findings, report.unsupported(spark, bridge.OLD, bridge.NEW))
 
 
 @query("WITH" + SPEC + " SELECT operation, part, status, field, types, open FROM d", base=False)

@@ -62,8 +62,11 @@ HAR = (
 )
 
 
-def har_entries(archives: DataFrame, column: str = "value") -> DataFrame:
-    """Exchanges of HAR texts: ts, method, url, headers, bodies, status, latency_ms, skipped."""
+def har_entries(archives: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
+    """Exchanges of HAR texts: ts, method, url, headers, bodies with their types, status, latency_ms, skipped.
+
+    strict: a status outside 100 to 599 is skipped as well, as in a browser's captures.
+    """
     e = F.explode(F.from_json(column, f"struct<{HAR.replace('log ', 'log:', 1)}>")["log"]["entries"]).alias("e")
     rows = archives.select(e)
     text = F.col("e.response.content.text")
@@ -73,14 +76,15 @@ def har_entries(archives: DataFrame, column: str = "value") -> DataFrame:
     first = F.map_from_entries(F.filter(heads, lambda h, i: ~F.exists(F.slice(heads, F.lit(1), i), lambda g: g["name"] == h["name"])))
     return rows.select(
         ts.alias("ts"), F.col("e.request.method").alias("method"), F.col("e.request.url").alias("url"), first.alias("headers"),
-        F.col("e.request.postData.text").alias("request_text"), body.alias("response_text"), F.col("e.response.status").alias("status"),
+        F.col("e.request.postData.mimeType").alias("request_type"), F.col("e.request.postData.text").alias("request_text"), F.col("e.response.content.mimeType").alias("response_type"), body.alias("response_text"), F.col("e.response.status").alias("status"),
         F.when(F.col("e.time") >= 0, F.col("e.time")).alias("latency_ms"),
-        (ts.isNull() | F.col("e.request.method").isNull() | F.col("e.request.url").isNull() | F.col("e.response.status").isNull()).alias("skipped"),
+        (ts.isNull() | F.col("e.request.method").isNull() | F.col("e.request.url").isNull() | F.col("e.response.status").isNull() | (~F.col("e.response.status").between(100, 599) if strict else F.lit(False))).alias("skipped"),
     )
 
 
 def client_identity(headers: Column, mode: str, salt: str, header: str = "") -> Column:
-    value = {"none": F.lit(None).cast("string"), "header": headers[header.lower()], "api_key_hash": F.coalesce(headers["authorization"], headers["x-api-key"])}[mode]
+    """Pseudonym of the sender: a header of choice, or the key that it calls with; null without one."""
+    value = {"none": F.lit(None).cast("string"), "header": headers[header.lower()], "api_key_hash": F.coalesce(headers[header.lower() or "authorization"], headers["x-api-key"])}[mode]
     return F.when(F.coalesce(value, F.lit("")) != "", C.pseudonym(salt, value))
 
 
