@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import cells, drift, impact, report, routes, sanitise, shapes, statistics, views
+from ..operators import cells, drift, evaluation, explorer, impact, report, routes, sanitise, shapes, statistics, views
 from ..sources import traffic as T
 from . import bridge
 
@@ -484,6 +484,73 @@ def learning_curve(spark, sf_dir):
     return statistics.learning_curve(p, "presence", [1, 10, 100]).select("field", "n", F.round("predicted", 6).alias("predicted"))
 
 
+# Evaluation.
+
+_SCORES = _RANKED + """, ranked AS (SELECT n.*, row_number() OVER (ORDER BY evidence = 'POTENTIAL', lvl, recent DESC, last_ts DESC NULLS LAST, requests DESC, n.id) AS rank,
+  row_number() OVER (ORDER BY touched DESC, n.id) AS plain FROM named n JOIN (SELECT grp, count(DISTINCT operation) AS touched FROM grouped GROUP BY grp) g ON g.grp = n.grp),
+scores AS (SELECT id, requests AS truth, ranking, score FROM ranked, LATERAL (VALUES ('report', -rank), ('severity_first', -(lvl * 1000000 + rank)), ('client_count', clients), ('volume_only', requests), ('spec_only', -plain)) AS v(ranking, score))"""
+
+
+@query(
+    _SCORES + """ SELECT a.ranking, round(sum(sign(a.score - b.score) * sign(a.truth - b.truth)) / sqrt(sum(abs(sign(a.score - b.score))) * sum(abs(sign(a.truth - b.truth)))), 6) AS tau
+FROM scores a JOIN scores b ON a.ranking = b.ranking AND a.id < b.id GROUP BY a.ranking"""
+)
+def comparator_tau(spark, sf_dir):
+    """How the report's order and others agree with the order by requests."""
+    rows = _impact(spark, sf_dir)
+    truth = rows.select("id", F.col("requests").cast("double").alias("truth"))
+    return evaluation.rank_correlation(evaluation.comparators(rows), truth).withColumn("tau", F.round("tau", 6))
+
+
+@query(
+    _SCORES + """, p AS (SELECT *, row_number() OVER (PARTITION BY ranking ORDER BY score DESC, id) AS place, row_number() OVER (PARTITION BY ranking ORDER BY truth DESC, id) AS best FROM scores),
+x AS (SELECT ranking, max(truth) FILTER (best = 5) AS fifth FROM p GROUP BY ranking)
+SELECT p.ranking, count(*) FILTER (place <= 5 AND truth >= fifth) / 5 AS top5 FROM p JOIN x USING (ranking) GROUP BY p.ranking"""
+)
+def comparator_top5(spark, sf_dir):
+    rows = _impact(spark, sf_dir)
+    return evaluation.top_five(evaluation.comparators(rows), rows.select("id", F.col("requests").cast("double").alias("truth")))
+
+
+@query(
+    ", a AS (SELECT DISTINCT op, client FROM m WHERE client <> '' AND day < DATE '2024-01-10'), b AS (SELECT DISTINCT op, client FROM m WHERE client <> '') SELECT b.op AS operation, count(a.op) AS found, count(*) AS \"true\", count(a.op) AS \"both\", CASE WHEN count(a.op) > 0 THEN 1.0 END::DOUBLE AS precision, round(count(a.op) / count(*), 6) AS recall FROM b LEFT JOIN a ON a.op = b.op AND a.client = b.client GROUP BY b.op"
+)
+def client_set_quality(spark, sf_dir):
+    """Callers known from the first days against all."""
+    calls = cells.fold(bridge.cube(spark, sf_dir), "CALL", "operation", "client", "day").where("client <> ''")
+    return evaluation.client_sets(calls.where("day < DATE'2024-01-10'"), calls, "operation").withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+
+
+@query(
+    """, g AS (SELECT op, part, st, field, count(*) AS c, count(*) FILTER (day < DATE '2024-01-03') AS c0 FROM f GROUP BY ALL),
+b AS (SELECT op, 'request.query' AS part, 0 AS st, count(*) AS n, count(*) FILTER (day < DATE '2024-01-03') AS n0 FROM m GROUP BY op UNION ALL SELECT op, 'request.body', 0, count(*), count(*) FILTER (day < DATE '2024-01-03') FROM m WHERE method = 'POST' GROUP BY op
+  UNION ALL SELECT op, 'response.body', status, count(*), count(*) FILTER (day < DATE '2024-01-03') FROM m WHERE status < 300 GROUP BY op, status),
+q AS (SELECT least(1.0, c / n)::DOUBLE AS p, c0, n0 FROM g JOIN b ON g.op = b.op AND g.part = b.part AND g.st = b.st)
+SELECT CASE WHEN p >= 0.5 THEN 0.5 WHEN p >= 0.1 THEN 0.1 WHEN p >= 0.01 THEN 0.01 ELSE 0.0 END::DOUBLE AS stratum, count(*) AS fields, count(*) FILTER (c0 > 0) AS found, round(sum(1 - pow(1 - p, n0)), 4) AS predicted FROM q GROUP BY 1"""
+)
+def field_recall(spark, sf_dir):
+    """Fields that two days of traffic show, by how often they really come."""
+    cube = bridge.cube(spark, sf_dir)
+    found = evaluation.field_recall(views.field_presence(cube.where("day < DATE'2024-01-03'")), views.field_presence(cube))
+    return found.withColumn("predicted", F.round("predicted", 4))
+
+
+@query(
+    """, s AS (SELECT client, op AS operation, 'call' AS what, '' AS field, '' AS value FROM m UNION ALL SELECT client, op, 'body', '', '' FROM m WHERE method = 'POST'
+  UNION ALL SELECT who, op, 'path', field, '' FROM f WHERE part LIKE 'request%' UNION ALL SELECT who, op, 'type', field, type FROM f WHERE part LIKE 'request%' UNION ALL SELECT who, op, 'value', field, val FROM f WHERE val IS NOT NULL)
+SELECT client, operation, what, field, value, count(*) AS count FROM s WHERE client <> '' GROUP BY ALL"""
+)
+def truth_counts(spark, sf_dir):
+    return evaluation.truth_of(bridge.resolved(spark, sf_dir))
+
+
+@query("WITH" + SPEC + """ SELECT r.operation, split_part(r.operation, ' ', 1) AS method, split_part(r.operation, ' ', 2) AS path, (SELECT count(*) FROM d WHERE d.operation = r.operation) AS fields, string_agg(answer, ',' ORDER BY answer) AS answers FROM r GROUP BY 1""", base=False)
+def explorer_operations(spark, sf_dir):
+    t = bridge.spec_tables(spark)
+    rows = explorer.operation_details(t["declared"], t["operations"], t["responses"])
+    return rows.select("operation", "method", "path", F.size("fields").cast("long").alias("fields"), F.array_join("answers", ",").alias("answers"))
+
+
 _PAGE_PATHS = ORACLE_SQL["redact_path"]
 
 
