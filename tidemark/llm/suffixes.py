@@ -306,3 +306,15 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=False)], names=names)
 
     return rows.mapInArrow(common.tidy(finish), schema)
+
+
+def kept_text(kept: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, kept) of remove_repeats with what is kept as text; a character that is cut goes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=[key, "kept"])
+
+    return kept.select(key, "kept").mapInArrow(common.tidy(run), f"{key} long, kept string")
