@@ -11,7 +11,7 @@ that no cell is held whole.  A pair counts in the first cell that both share.
 
 Equal vectors are one class, compared once; its size counts in the links of others.
 Null vectors, zero ones and those with null, NaN or infinite components link with
-nothing, and so do vectors of different lengths.  Repeated ids are separate vectors
+nothing, and so do vectors of different lengths and those without an id.  Repeated ids are separate vectors
 of one id.  Other columns are ignored.
 """
 
@@ -44,8 +44,8 @@ def classes(df: DataFrame, vector: str, key: str) -> DataFrame:
 
         for b in batches:
             digests, units = [], []
-            for v in _vectors(b.column(1)):
-                if v is None:
+            for i, v in zip(b.column(0).to_pylist(), _vectors(b.column(1)), strict=True):
+                if v is None or i is None:
                     digests.append(None)
                     units.append(None)
                 else:
@@ -201,4 +201,4 @@ def embedding_near_dedup(df: DataFrame, vector: str = "embedding", key: str = "v
     classed = classed.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = rows.select("id", "digest").where("digest IS NOT NULL").join(classed, "digest").select("id", "n_links", "component_id")
     lone = rows.where("digest IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(lone).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return linked.union(lone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
