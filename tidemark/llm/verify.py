@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common, components
 
-GROUP, BLOCK, PAIRS = 256, 256, 8192
+GROUP, BLOCK, PAIRS = 256, 256, 16384
 
 
 def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit) -> DataFrame:
