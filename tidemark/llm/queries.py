@@ -76,7 +76,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_simhash_lines, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter)}
+def op13_bit_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middles import fill_in_middle
+
+    return fill_in_middle(common.documents(spark, sf_dir), digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_simhash_lines, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter, op13_bit_masks)}
 
 ORACLE_SQL = {
     "op7_chat": r"""
@@ -104,4 +110,19 @@ SELECT page_id, any_value(host) AS host, any_value(path) AS path,
   arg_max(rh || rp, length(rh || rp)) AS rule, coalesce(arg_max(v, length(rh || rp)), 'allow') AS verdict
 FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
 GROUP BY page_id""",
+    "op13_bit_masks": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+h AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (len(units) + 1) AS a,
+    CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (len(units) + 1) AS b, CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 AS way,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM d),
+p AS (
+  SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(units[greatest(a, b) + 1:], '') AS suffix, CASE WHEN plain THEN 'plain' WHEN way < 50 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
 }
