@@ -76,13 +76,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixes import bpe
+
+    return bpe(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 def op13_bit_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .middles import fill_in_middle
 
     return fill_in_middle(common.documents(spark, sf_dir), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_simhash_lines, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter, op13_bit_masks)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_simhash_lines, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter, op11_prefixes, op13_bit_masks)}
 
 ORACLE_SQL = {
     "op7_chat": r"""
