@@ -82,15 +82,55 @@ def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import product_codes
+
+    return product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_bit_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .middles import fill_in_middle
 
     return fill_in_middle(common.documents(spark, sf_dir), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_simhash_lines, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter, op11_prefixes, op13_bit_masks)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_simhash_lines, op3_gif, op4_karmarkar_karp, op5_nearest_examples, op6_superminhash, op7_chat, op8_spherical_kmeans, op9_sentencepiece, op10_url_filter, op11_prefixes, op12_hamerly, op13_bit_masks)}
+
+
+def _lloyd_sql(rounds: int = 6) -> str:
+    """Product codes written out round by round."""
+    out = [r"""
+WITH q AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // 8) + 1:(part + 1) * (len(q) // 8)] AS x FROM q, range(8) AS r(part)),
+b0 AS MATERIALIZED (
+  SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 16)"""]
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d FROM (
+    SELECT p.vec_id, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{r} AS b USING (part))
+  GROUP BY vec_id, part)""")
+        if r < rounds:
+            out.append(f"""
+b{r + 1} AS MATERIALIZED (
+  SELECT b.part, coalesce(m.x, b.x) AS x, b.entry FROM b{r} AS b LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY i) AS x FROM (
+      SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m
+      FROM p JOIN a{r} USING (vec_id, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY part, entry, i)
+    GROUP BY part, entry) AS m USING (part, entry))""")
+    out.append(f"""
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+c AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM e JOIN q USING (vec_id), c""")
+    return ",".join(out[:-1]) + "," + out[-1]
+
 
 ORACLE_SQL = {
+    "op12_hamerly": _lloyd_sql(),
     "op7_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
