@@ -179,3 +179,15 @@ def test_minhash_with_ids_of_several_texts(spark):
     docs = [(1, a), (1, b), (2, a + "tail"), (3, b + "tail"), (4, c), (None, c)]
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.minhash_groups(spark.createDataFrame(docs, DOCS), words=3, percent=85).collect()}
     assert {k: v for k, v in got.items() if k[0]} == {(1, 58): 1, (2, 59): 1, (3, 59): 1, (4, 58): 4}
+
+
+def test_patterned_words_differ():
+    """Thue-Morse words, whose sums of values times powers agree modulo 2**64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+        other = word.translate({97: 98, 98: 97})
+        a, b = minhash.shingles([word.encode(), other.encode()], 3)
+        assert a[0] != b[0]
+        hashes = lines.simhashes([word, other])
+        assert hashes[0] != hashes[1]

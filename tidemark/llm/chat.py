@@ -107,6 +107,8 @@ def chat_digests(df: DataFrame, template: Template | None = None) -> DataFrame:
     read = read_back(format_chat(df, template), template)
     return read.select(
         "conv_id",
+        "valid",
+        "error_turn",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),

@@ -52,7 +52,7 @@ def _hashes_of(pieces: list[bytes]) -> list[np.ndarray]:
     space = _SPACE[data]
     edges = np.flatnonzero(np.diff(space, prepend=True))
     starts = edges[0::2]
-    hashes = Hasher(data).between(starts, edges[1::2])
+    hashes = Hasher(data).words(starts, edges[1::2])
     return np.split(hashes, np.searchsorted(starts, np.cumsum([len(p) + 1 for p in pieces])[:-1]))
 
 
@@ -131,6 +131,9 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int = SIGNA
     return out.reshape(n, m)
 
 
+SKETCH = np.dtype([("slots", "<u2", (SIGNATURE,)), ("bands", "<i8", (SIGNATURE // ROWS,))])
+
+
 def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     n, bands = signatures.shape[0], signatures.shape[1] // rows
     parts = signatures[:, : bands * rows].reshape(n, bands, rows)
@@ -143,9 +146,11 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Sixteen bits of each slot: enough to tell whether two slots agree."""
-    return (mix(signatures) >> np.uint64(48)).astype(np.uint16)
+def sketches(signatures: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each slot, enough to count those that agree, and the whole keys of the bands."""
+    out = np.zeros(len(signatures), SKETCH)
+    out["slots"], out["bands"] = mix(signatures) >> np.uint64(48), bands
+    return out
 
 
 def _sketch(words: int):
@@ -160,8 +165,9 @@ def _sketch(words: int):
                 keys, slots = {}, {}
                 if len(full):
                     signatures = superminhash(np.concatenate([sets[i] for i in full]), np.repeat(np.arange(len(full)), sizes[full]), len(full))
-                    keys = dict(zip(full.tolist(), band_keys(signatures).tolist(), strict=True))
-                    slots = dict(zip(full.tolist(), sketches(signatures), strict=True))
+                    bands = band_keys(signatures)
+                    keys = dict(zip(full.tolist(), bands.tolist(), strict=True))
+                    slots = dict(zip(full.tolist(), sketches(signatures, bands), strict=True))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 bands = pa.array([keys.get(i) for i in range(len(sets))], pa.list_(pa.int64()))
                 slots = pa.array([slots[i].tobytes() if i in slots else None for i in range(len(sets))], pa.binary())
@@ -238,9 +244,8 @@ class ShingleKit:
         """Pairs whose slots agree often enough, if the band `key` is the first that they share."""
         out = np.zeros(len(a), bool)
         for s in range(0, len(a), 4096):
-            x, y = (np.frombuffer(b"".join(v[s : s + 4096]), np.uint16).reshape(-1, SIGNATURE) for v in (a, b))
-            equal = x == y
-            bands = equal[:, : SIGNATURE // ROWS * ROWS].reshape(len(x), SIGNATURE // ROWS, ROWS).all(2)
+            x, y = (np.frombuffer(b"".join(v[s : s + 4096]), SKETCH) for v in (a, b))
+            equal, bands = x["slots"] == y["slots"], x["bands"] == y["bands"]
             # A band's number is in its key's lowest bits.
             band = np.array([-1 if k is None else k & BAND_MASK for k in keys[s : s + 4096]])
             out[s : s + 4096] = (equal.sum(1) >= self.agree) & ((band < 0) | bands.any(1) & (bands.argmax(1) == band))

@@ -18,7 +18,7 @@ def op1_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_dedup
 
-    out = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"))
+    out = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"), least=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(common.text_or_empty(), 256).alias("kept_sha256"))
 
 
@@ -137,8 +137,9 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS safe FROM c)
-SELECT conv_id, count(*) AS n_turns,
+  SELECT *, coalesce(lag(role) OVER w, '') || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS fits, row_number() OVER w - 1 AS pos,
+    row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AND role <> 'assistant' AS breaks_off, replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS safe FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, bool_and(coalesce(fits, false)) AND NOT bool_or(breaks_off) AS valid, CAST(coalesce(min(pos) FILTER (WHERE NOT fits), max(pos + 1) FILTER (WHERE breaks_off)) AS INTEGER) AS error_turn,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
