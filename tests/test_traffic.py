@@ -61,7 +61,7 @@ def known(spark):
     old, new = service(True), service(False)
     r = routes.build_routes(spark, [(o.method, o.path) for o in old.operations()])
     cube = cells.build_cells(routes.resolve(events(spark, calls()), r)).cache()
-    return {"old": old, "new": new, "routes": r, "cube": cube, "tables": openapi.tables(spark, old), "changes": spark.createDataFrame(diff.diff(old, new), impact.CHANGE)}
+    return {"old": old, "new": new, "routes": r, "cube": cube, "tables": openapi.tables(spark, old), "changes": diff.diff_documents(spark, old, new).cache()}
 
 
 def rows_of(known, **config):

@@ -16,11 +16,11 @@ def summary(spark: SparkSession, spec: Spec) -> DataFrame:
     return head.crossJoin(constructs)  # one row each
 
 
-def operation_details(declared: DataFrame, operations: DataFrame, responses: DataFrame) -> DataFrame:
-    """Of each operation its answers and its declared fields by part and status, in order of paths."""
-    fields = declared.groupBy("operation").agg(F.sort_array(F.collect_list(F.struct("part", "status", "field", "types", "required", "enum", "open"))).alias("fields"))
-    answers = responses.groupBy("operation").agg(F.sort_array(F.collect_set("answer")).alias("answers"))
-    return operations.join(answers, "operation", "left").join(fields, "operation", "left")
+def operation_details(declared: DataFrame, operations: DataFrame, responses: DataFrame, by: tuple = ("operation",)) -> DataFrame:
+    """Of each operation its answers and its declared fields by part and status, in order of paths; `by` may name the document as well."""
+    fields = declared.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "status", "field", "types", "required", "enum", "open"))).alias("fields"))
+    answers = responses.groupBy(*by).agg(F.sort_array(F.collect_set("answer")).alias("answers"))
+    return operations.join(answers, [*by], "left").join(fields, [*by], "left")
 
 
 def write_bundle(path: str, **tables: DataFrame) -> None:

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from .cells import fold
 from .views import active_clients, status_answers
 
-CHANGE = "id int, kind string, operation string, part string, field string, status string, `from` array<string>, `to` array<string>, breaking boolean, source string, direction string"
+CHANGE = "id int, kind string, operation string, part string, field string, status string, `from` array<string>, `to` array<string>, breaking boolean, source string, direction string, truncated boolean"
 
 
 @dataclass(frozen=True)

@@ -26,12 +26,12 @@ def describe(kind: Column, operation: Column, part: Column, field: Column, statu
 
 
 def header(cells: DataFrame, changes: DataFrame, active: DataFrame, config) -> DataFrame:
-    """One row: events, matched and identified ones, window, active clients, numbers of changes, limitations."""
+    """One row: events, matched and identified ones, window, active clients, numbers of changes and whether some were left out, limitations."""
     e = fold(cells, "EVENT", "client").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("events"), F.coalesce(F.sum(F.when(F.col("client") != "", F.col("count"))), F.lit(0)).alias("identified"), F.min("first_ts").alias("first_event"), F.max("last_ts").alias("last_event")
     )
     m = cells.where("kind = 'CALL'").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("matched_events"))
-    c = changes.agg(F.count("*").alias("changes_total"), F.count_if("breaking").alias("breaking_total"))
+    c = changes.agg(F.count("*").alias("changes_total"), F.count_if("breaking").alias("breaking_total"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"))
     rows = e.crossJoin(m).crossJoin(active.agg(F.count("*").alias("active_clients"))).crossJoin(c)  # one row each
     days = C.window_days(F.col("first_event").cast("timestamp"), F.col("last_event").cast("timestamp"))
     rows = rows.withColumns({"unmatched_events": F.col("events") - F.col("matched_events"), "window_days": days}).withColumn("min_detectable_rate_per_day", C.detectable_rate(F.col("window_days")))
@@ -47,6 +47,7 @@ def limitations(config) -> Column:
         F.when(F.col("window_days") > 0, F.concat(F.lit("Clients that call less often than "), short(F.col("min_detectable_rate_per_day")), F.lit(" times a day may be missing from "), short(F.col("window_days")), F.lit(" days."))),
         F.when((F.col("window_days") > 0) & (F.col("window_days") < config.stale_days), "The window is shorter than stale_days: nothing can be DORMANT."),
         F.when(F.col("events") == 0, "There is no traffic: rows lack data, which is no proof of safety."),
+        F.when(F.col("truncated"), "Some changes stand at more paths than are listed; each breaking one is listed at its shortest."),
         F.lit("Not compared: value constraints, defaults, formats, response headers, security."),
     ]
     return F.array_compact(F.array(*said))

@@ -52,7 +52,9 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("kind"), "value", k.alias("k"))
-    e = e.where(~((F.col("user_id") % 6 == 0) & (F.col("ts") >= "2024-01-15")) & ~((F.col("user_id") % 6 == 1) & (F.col("ts") >= "2024-01-25")))
+    # One user in six fell silent in the middle of the month and one a week before its end: their later events lie earlier.
+    back = lambda n, since, days: F.when((F.col("user_id") % 6 == n) & (F.col("ts") >= since), F.col("ts") - F.make_dt_interval(days=F.lit(days)))
+    e = e.withColumn("ts", F.coalesce(back(0, "2024-01-15", 16), back(1, "2024-01-25", 6), F.col("ts")))
     post, k = F.col("kind").isin("purchase", "signup"), F.col("k")
     num = k.cast("string")
     path = (
@@ -120,5 +122,12 @@ def spec_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return openapi.tables(spark, OLD)
 
 
+_CHANGES: dict[str, list] = {}
+
+
 def changes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(diff.diff(OLD, NEW), impact.CHANGE)
+    """The changes between both specifications, compared once an application: as many rows as the specifications differ in."""
+    app = spark.sparkContext.applicationId
+    if app not in _CHANGES:
+        _CHANGES[app] = diff.diff_documents(spark, OLD, NEW).select(*[f"`{x.split()[0].strip('`')}`" for x in impact.CHANGE.split(", ")]).collect()
+    return spark.createDataFrame(_CHANGES[app], impact.CHANGE)

@@ -5,17 +5,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import cells, drift, evaluation, explorer, impact, report, routes, sanitise, shapes, statistics, views
+from ..operators import cells, diff, drift, evaluation, explorer, impact, report, routes, sanitise, shapes, statistics, views
+from ..sources import openapi
 from ..sources import traffic as T
-from . import bridge
+from . import bridge, contracts
 
 QUERIES, ORACLE_SQL = {}, {}
 
 #: Events as rows `t`, their fields as rows `f`, for SQL.
 BASE = """
 WITH t0 AS (
-  SELECT event_id, ts, user_id, event_type AS kind, value AS latency, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
-  WHERE NOT (user_id % 6 = 0 AND ts >= TIMESTAMP '2024-01-15') AND NOT (user_id % 6 = 1 AND ts >= TIMESTAMP '2024-01-25')),
+  SELECT event_id, CASE WHEN user_id % 6 = 0 AND ts >= TIMESTAMP '2024-01-15' THEN ts - INTERVAL 16 DAY WHEN user_id % 6 = 1 AND ts >= TIMESTAMP '2024-01-25' THEN ts - INTERVAL 6 DAY ELSE ts END AS ts,
+    user_id, event_type AS kind, value AS latency, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 t AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS day, k, latency, kind,
     CASE WHEN kind IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
@@ -330,11 +331,11 @@ ch(id, kind, operation, part, field, status) AS (VALUES
   (0, 'request_field_removed', 'GET /items/{id}', 'request.query', '$.limit', NULL), (1, 'response_field_removed', 'GET /items/{id}', 'response.body', '$.legacy_id', '200'),
   (2, 'request_field_removed', 'GET /items/featured', 'request.query', '$.limit', NULL), (3, 'response_field_removed', 'GET /items/featured', 'response.body', '$.legacy_id', '200'),
   (4, 'response_status_removed', 'GET /items/featured', 'response.body', NULL, '429'), (5, 'operation_removed', 'GET /items/{id}/clicks', NULL, NULL, NULL),
-  (6, 'request_type_changed', 'POST /orders', 'request.body', '$.qty', NULL), (7, 'request_enum_narrowed', 'POST /orders', 'request.body', '$.plan', NULL),
-  (8, 'request_field_made_required', 'POST /orders', 'request.body', '$.email', NULL), (9, 'request_field_removed', 'POST /orders', 'request.body', '$.note', NULL),
+  (6, 'request_field_made_required', 'POST /orders', 'request.body', '$.email', NULL), (7, 'request_field_removed', 'POST /orders', 'request.body', '$.note', NULL),
+  (8, 'request_type_changed', 'POST /orders', 'request.body', '$.qty', NULL), (9, 'request_enum_narrowed', 'POST /orders', 'request.body', '$.plan', NULL),
   (10, 'response_field_removed', 'POST /orders', 'response.body', '$.legacy_id', '201'),
-  (11, 'request_type_changed', 'POST /users', 'request.body', '$.qty', NULL), (12, 'request_enum_narrowed', 'POST /users', 'request.body', '$.plan', NULL),
-  (13, 'request_field_made_required', 'POST /users', 'request.body', '$.email', NULL), (14, 'request_field_removed', 'POST /users', 'request.body', '$.note', NULL),
+  (11, 'request_field_made_required', 'POST /users', 'request.body', '$.email', NULL), (12, 'request_field_removed', 'POST /users', 'request.body', '$.note', NULL),
+  (13, 'request_type_changed', 'POST /users', 'request.body', '$.qty', NULL), (14, 'request_enum_narrowed', 'POST /users', 'request.body', '$.plan', NULL),
   (15, 'response_field_removed', 'POST /users', 'response.body', '$.legacy_id', '2XX'), (16, 'response_field_removed', 'GET /reports/{year}', 'response.body', '$.legacy_id', '200')),
 grouped AS (SELECT *, CASE WHEN part = 'request.query' OR field IS NULL THEN operation ELSE '' END || '|' || kind || '|' || coalesce(field, '') AS grp FROM ch)"""
 _RANKED = "," + CHANGES + _HITS.replace("ch.grp", "grp").replace("FROM ch CROSS JOIN en", "FROM grouped ch CROSS JOIN en")
@@ -372,9 +373,11 @@ def gate_check(spark, sf_dir):
     return impact.gate(_impact(spark, sf_dir), 1, 40.0, "CRITICAL").select("id", "kind", "operation")
 
 
-@query("WITH" + CHANGES + " SELECT * FROM ch", base=False)
+@query("WITH RECURSIVE" + contracts.PAIRS + " SELECT * FROM changes", base=False)
 def diff_breaking(spark, sf_dir):
-    return bridge.changes(spark).where("breaking").select("id", "kind", "operation", "part", "field", "status")
+    """All changes, breaking or not, between the two documents of each part."""
+    rows = diff.diff(contracts.pairs(spark, sf_dir), openapi.graphs(contracts.documents(spark, sf_dir)))
+    return rows.select("pair", "kind", "operation", "part", "field", "status", "breaking")
 
 
 @query(
@@ -544,11 +547,14 @@ def truth_counts(spark, sf_dir):
     return evaluation.truth_of(bridge.resolved(spark, sf_dir))
 
 
-@query("WITH" + SPEC + """ SELECT r.operation, split_part(r.operation, ' ', 1) AS method, split_part(r.operation, ' ', 2) AS path, (SELECT count(*) FROM d WHERE d.operation = r.operation) AS fields, string_agg(answer, ',' ORDER BY answer) AS answers FROM r GROUP BY 1""", base=False)
+@query("WITH RECURSIVE" + contracts.DECLARED + """, one AS (SELECT operation, count(*) AS fields, CASE operation WHEN 'POST /parts' THEN '201' ELSE '200' END AS answers FROM fields GROUP BY operation)
+SELECT p_partkey AS partkey, operation, split_part(operation, ' ', 1) AS method, split_part(operation, ' ', 2) AS path, fields, answers FROM part, one""", base=False)
 def explorer_operations(spark, sf_dir):
-    t = bridge.spec_tables(spark)
-    rows = explorer.operation_details(t["declared"], t["operations"], t["responses"])
-    return rows.select("operation", "method", "path", F.size("fields").cast("long").alias("fields"), F.array_join("answers", ",").alias("answers"))
+    """Operations of each part's document with their answers and numbers of fields."""
+    documents = contracts.documents(spark, sf_dir).where("endswith(spec, ':old')")
+    operations, answers = openapi.operations_of(openapi.graphs(documents))
+    rows = explorer.operation_details(openapi.declarations(documents), operations, answers, ("spec", "operation"))
+    return rows.select(F.split_part("spec", F.lit(":"), F.lit(1)).cast("long").alias("partkey"), "operation", "method", "path", F.size("fields").cast("long").alias("fields"), F.array_join("answers", ",").alias("answers"))
 
 
 _PAGE_PATHS = ORACLE_SQL["redact_path"]
@@ -589,7 +595,7 @@ def fold_days(cube: DataFrame) -> DataFrame:
 
 @query(
     """, w AS (SELECT count(*) AS events, count(*) FILTER (client <> '') AS identified, count(op) AS matched_events, count(*) - count(op) AS unmatched_events, min(ts) AS first_event, max(ts) AS last_event FROM t)
-SELECT *, (SELECT count(*) FROM (SELECT client FROM t WHERE client <> '' GROUP BY client HAVING max(ts) >= (SELECT max(ts) FROM t) - INTERVAL 3 DAY)) AS active_clients, 17 AS changes_total, 17 AS breaking_total,
+SELECT *, (SELECT count(*) FROM (SELECT client FROM t WHERE client <> '' GROUP BY client HAVING max(ts) >= (SELECT max(ts) FROM t) - INTERVAL 3 DAY)) AS active_clients, 17 AS changes_total, 17 AS breaking_total, false AS truncated,
   round((epoch_ms(last_event) - epoch_ms(first_event)) / 86400000.0, 6) AS window_days, round(3 / ((epoch_ms(last_event) - epoch_ms(first_event)) / 86400000.0), 6) AS min_detectable_rate_per_day, CAST(4 AS INTEGER) AS limitations FROM w"""
 )
 def report_header(spark, sf_dir):
@@ -611,6 +617,8 @@ def report_json(spark, sf_dir):
     return report.document(head, rows, findings, report.unsupported(spark, bridge.OLD, bridge.NEW))
 
 
-@query("WITH" + SPEC + " SELECT operation, part, status, field, types, open FROM d", base=False)
+@query("WITH RECURSIVE" + contracts.DECLARED + """ SELECT p_partkey AS partkey, operation, part, status, field, types, open, CASE node WHEN 'container' THEN p_type WHEN 'tier' THEN 'gold|silver|tin' END AS enum FROM part, fields""", base=False)
 def declared_fields(spark, sf_dir):
-    return bridge.spec_tables(spark)["declared"].select("operation", "part", "status", "field", F.array_join("types", "|").alias("types"), "open")
+    """Declared fields of each part's document."""
+    rows = openapi.declarations(contracts.documents(spark, sf_dir).where("endswith(spec, ':old')"))
+    return rows.select(F.split_part("spec", F.lit(":"), F.lit(1)).cast("long").alias("partkey"), "operation", "part", "status", "field", F.array_join("types", "|").alias("types"), "open", F.array_join("enum", "|").alias("enum"))

@@ -9,6 +9,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed values of the format: methods of a path, JSON types.
 METHODS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
@@ -233,6 +234,103 @@ def tables(spark: SparkSession, spec: Spec) -> dict[str, DataFrame]:
     }
 
 
+#: A document as a graph.  Node 0 is the schema that takes anything; edges go to the schemas of properties, map values and items.
+GRAPH = (
+    "nodes array<struct<node:int,types:array<string>,enum:array<string>,source:string>>,"
+    "edges array<struct<node:int,ord:int,slot:string,name:string,suffix:string,child:int,required:boolean,in_request:boolean,in_response:boolean>>,"
+    "slots array<struct<shape:string,operation:string,at:int,ord:int,what:string,part:string,name:string,label:string,status:string,media:string,required:boolean,node:int>>"
+)
+
+
+def graph(spec: Spec) -> dict[str, list[dict]]:
+    """Schemas that operations reach, how they hold each other, and the slots of operations that they fill."""
+    number: dict[int, int] = {}
+    pending: list = []
+
+    def node(schema) -> int:
+        if schema is None:
+            return 0
+        at = id(spec.resolve(schema)[0])
+        if at not in number:
+            number[at] = len(number) + 1
+            pending.append(schema)
+        return number[at]
+
+    slots = []
+    for i, op in enumerate(spec.operations()):
+        names = re.findall(r"\{([^/}]*)\}", op.path)
+        found = [("operation", None, None, None, None, None, False, None)]
+        found += [("path", "request.path", str(k), n, None, None, True, op.parameters["path", n][0]) for k, n in enumerate(names) if ("path", n) in op.parameters]
+        found += [("parameter", f"request.{where}", n, n, None, None, need, schema) for (where, n), (schema, need) in op.parameters.items() if where != "path"]
+        if op.has_body:
+            found.append(("body", "request.body", None, None, None, None, op.body_required, None))
+            found += [("media", "request.body", None, None, None, m, False, schema) for m, schema in op.body.items()]
+        for status, content in op.responses.items():
+            found.append(("response", "response.body", None, None, status, None, False, None))
+            found += [("media", "response.body", None, None, status, m, False, schema) for m, schema in content.items()]
+        shape = f"{op.method} " + re.sub(r"\{[^/}]*\}", "{}", op.path)
+        for k, (what, part, name, label, status, media, required, schema) in enumerate(found):
+            slots.append({"shape": shape, "operation": op.key, "at": i, "ord": k, "what": what, "part": part, "name": name, "label": label, "status": status, "media": media, "required": required, "node": node(schema)})
+    nodes, edges, at = [{"node": 0, "types": None, "enum": None, "source": ""}], [], 0
+    while at < len(pending):
+        v = spec.view(pending[at])
+        at += 1
+        nodes.append({"node": at, "types": None if v.types is None else sorted(v.types), "enum": None if v.enum is None else list(v.enum), "source": v.source})
+        below = [("property", n, child_path("", n), s) for n, s in v.properties.items()]
+        below += [("map", "", ".*", v.additional)] * isinstance(v.additional, dict) + [("items", "", "[]", v.items)] * (v.items is not None)
+        for k, (slot, name, suffix, schema) in enumerate(below):
+            w = spec.view(schema if schema is not None else {})
+            edges.append({"node": at, "ord": k, "slot": slot, "name": name, "suffix": suffix, "child": node(schema), "required": slot == "property" and name in v.required, "in_request": visible(w, "request"), "in_response": visible(w, "response")})
+    return {"nodes": nodes, "edges": edges, "slots": slots}
+
+
+def graphs(documents: DataFrame, key: str = "spec", text: str = "text") -> DataFrame:
+    """One row for each document: key, its graph, or the error that makes it none.  A document is read where its row is."""
+    kind = documents.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, {GRAPH}, error string"
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[text], strict=True):
+                try:
+                    g, error = graph(Spec(load(t or ""))), None
+                except Exception as e:  # one bad document is a row, not the end of a survey
+                    g, error = {"nodes": [], "edges": [], "slots": []}, f"{type(e).__name__}: {e}"[:200]
+                rows.append((k, g["nodes"], g["edges"], g["slots"], error))
+            yield pd.DataFrame(rows, columns=[key, "nodes", "edges", "slots", "error"])
+
+    return documents.select(key, text).mapInPandas(run, schema)
+
+
+def declarations(documents: DataFrame, key: str = "spec", text: str = "text") -> DataFrame:
+    """Declared fields of many documents: key and the columns of DECLARED; documents that cannot be read have none."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[text], strict=True):
+                try:
+                    rows += [(k, *r) for r in Spec(load(t or "")).declared()]
+                except Exception:  # graphs() has the error
+                    continue
+            yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in DECLARED.split(", "))])
+
+    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, {DECLARED}")
+
+
+def operations_of(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Operations (spec, operation, method, path) and answers (spec, operation, answer) of graphs()."""
+    slots = graphs.select("spec", F.explode("slots").alias("x")).select("spec", "x.*")
+    operations = slots.where("what = 'operation'").select("spec", "operation", F.split_part("operation", F.lit(" "), F.lit(1)).alias("method"), F.regexp_replace("operation", "^[^ ]* ", "").alias("path"))
+    return operations, slots.where("what = 'response'").select("spec", "operation", F.col("status").alias("answer"))
+
+
 def specifications(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document under a path: file, operations, unsupported, error."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
