@@ -1,10 +1,7 @@
-import json
-
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import cells, impact, routes, shapes
+from tidemark.operators import cells, impact
 from tidemark.plans import bridge, queries
 from tidemark.sources import openapi, traffic
 from tidemark.streaming import ingest
@@ -16,14 +13,6 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column).first()[0]
 
 
-@pytest.mark.parametrize(
-    "path, expected",
-    [("/shops/98/carts", "/shops/{*}/carts"), ("/shops/north", "/shops/north"), ("/k/0badcafe7", "/k/{*}"), ("/k/bo@site.org", "/k/{*}"), ("/", "/"), ("/p//q", "/p/q"), ("/f/0f8fad5b-d9cb-469f-a165-70867728950e", "/f/{*}")],
-)
-def test_redact(spark, path, expected):
-    assert one(spark, C.redact_path(F.col("p")), p=path) == expected
-
-
 def test_paths(spark):
     assert one(spark, C.parent_path(F.col("p")), p="$.a.b[].c") == "$.a.b[]"
     assert one(spark, C.parent_path(F.col("p")), p="$") is None
@@ -31,42 +20,6 @@ def test_paths(spark):
     assert one(spark, C.child_path(F.lit("$"), F.col("p")), p="odd name") == "$['odd name']"
 
 
-OPS = [("GET", "/shops/{id}"), ("GET", "/shops/best"), ("GET", "/shops/{id}/carts"), ("PUT", "/shops/{id}"), ("GET", "/images/{name}.png"), ("GET", "/images/{name}"), ("GET", "/spans/{low}..{high}"), ("GET", "/")]
-
-
-@pytest.mark.parametrize(
-    "method, path, expected",
-    [
-        ("GET", "/v2/shops/best", "GET /shops/best"), ("GET", "/shops/best/carts", "GET /shops/{id}/carts"), ("PUT", "/v2/shops/best", "PUT /shops/{id}"), ("GET", "/images/cat.png", "GET /images/{name}.png"),
-        ("GET", "/spans/3..9", "GET /spans/{low}..{high}"), ("GET", "/shops//carts", None), ("GET", "/v2", "GET /"), ("GET", "/{*}", None), ("GET", "/shops/{*}?a=b", "GET /shops/{id}"), ("GET", "/shops/5/", "GET /shops/{id}"),
-    ],
-)
-def test_match(spark, method, path, expected):
-    r = routes.build_routes(spark, OPS, ["/v2"])
-    assert routes.match(spark.createDataFrame([(method, path)], "method string, path string"), r).first()["op_key"] == expected
-
-
-def test_lines(spark):
-    good = {"v": 1, "ts": "2025-03-04T05:06:07Z", "method": "GET", "path": "/a", "status": 200, "more": 1}
-    bad = [good | {"v": 2}, {k: v for k, v in good.items() if k != "path"}, good | {"request": {"body": [{"path": "a", "types": ["string"]}]}}, good | {"request": {"body": [{"path": "$", "types": ["text"]}]}}]
-    rows = traffic.parse_lines(spark.createDataFrame([(json.dumps(x),) for x in [good, *bad]] + [("no",)], "value string")).collect()
-    assert [r["rejected"] for r in rows] == [None, "unknown version", "neither operation nor path", "bad field", "bad field", "not JSON"]
-    assert rows[0]["query"] == [] and rows[0]["request_body"] is None
-
-
-def test_har(spark):
-    entry = {"startedDateTime": "2025-03-04T07:30:00.250+01:00", "time": 12.25, "request": {"method": "GET", "url": "/a", "headers": [{"name": "X", "value": "1"}, {"name": "x", "value": "2"}]}, "response": {"status": 200, "content": {"text": "eyJub3RlIjoiaGkifQ==", "encoding": "base64"}}}
-    rows = traffic.har_entries(spark.createDataFrame([(json.dumps({"log": {"entries": [entry, {"time": -1}]}}),)], "value string")).orderBy("skipped").collect()
-    assert rows[0]["response_text"] == '{"note":"hi"}' and rows[0]["latency_ms"] == 12.25 and rows[0]["headers"] == {"x": "1"} and str(rows[0]["ts"]).endswith("06:30:00.250000")
-    assert rows[1]["skipped"] and rows[1]["latency_ms"] is None
-
-
-def test_shapes(spark):
-    body = json.dumps({"a": None, "n": 12.0, "r": 0.5, "xs": [{"q": 1}, {"q": "x"}], "e": [], "odd name": True})
-    rows = {r["path"]: r["types"] for r in shapes.shapes(spark.createDataFrame([(1, body), (2, "{")], "id int, body string"), "id", "body").collect()}
-    assert rows == {"$": ["object"], "$.a": ["null"], "$.n": ["integer"], "$.r": ["number"], "$.xs": ["array"], "$.xs[]": ["object"], "$.xs[].q": ["integer", "string"], "$.e": ["array"], "$['odd name']": ["boolean"]}
-
-
 def test_yaml_scalars():
     assert openapi.load("a: yes\nb: 2020-01-01\nc: true\nd: 1\ne: 1.5\nf: null\n") == {"a": "yes", "b": "2020-01-01", "c": True, "d": 1, "e": 1.5, "f": None}
 

@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.openapi import Spec
 from ..sources.traffic import FIELD, client_identity
-from .routes import match
-from .shapes import MOST_VALUES, with_shape
+from .routes import Routes, match
+from .shapes import MOST_VALUES, Bodies, with_shape
 
 
 def json_text(media: Column, text: Column) -> Column:
@@ -37,36 +38,25 @@ def query_fields(url: Column, enums: Column) -> Column:
     return F.transform(names, field).cast(FIELD)
 
 
-def _enums(declared: DataFrame) -> DataFrame:
-    """For each operation the enum paths of query and body, and of each declared answer."""
-    own = declared.where("enum IS NOT NULL")
-    paths = lambda part: F.coalesce(F.collect_set(F.when(F.col("part") == part, F.col("field"))), F.array().cast("array<string>"))
-    return own.groupBy("operation").agg(paths("request.query").alias("_q"), paths("request.body").alias("_b"), F.collect_set(F.when(F.col("part") == "response.body", F.struct("status", "field"))).alias("_r")).withColumnRenamed("operation", "op_key")
-
-
-def sanitise(exchanges: DataFrame, routes: DataFrame | None = None, declared: DataFrame | None = None, responses: DataFrame | None = None, salt: str = "", mode: str = "none", header: str = "", time_header: str | None = None) -> DataFrame:
+def sanitise(exchanges: DataFrame, routes: Routes | None = None, spec: Spec | None = None, salt: str = "", mode: str = "none", header: str = "", time_header: str | None = None) -> DataFrame:
     """Events of exchanges (see har_entries), those that are skipped left out; without routes nothing is matched.
 
-    declared and responses are the specification's tables; of declared enums alone values are kept.
+    Of what the specification declares as enums alone values are kept: fields of bodies, also under maps, and
+    query parameters, also arrays.
     """
     rows = exchanges.where("NOT skipped").withColumn("method", F.upper("method")).withColumn("_path", C.url_path(F.col("url")))
     rows = match(rows, routes, "method", "_path") if routes is not None else rows.withColumn("op_key", F.lit(None).cast("string"))
-    none = F.array().cast("array<string>")
-    if declared is not None and responses is not None:
-        answers = responses.groupBy(F.col("operation").alias("op_key")).agg(F.collect_set("answer").alias("_answers"))
-        rows = rows.join(F.broadcast(answers), "op_key", "left").join(F.broadcast(_enums(declared)), "op_key", "left")
-        code = F.col("status").cast("string")
-        group = F.concat(F.substring(code, 1, 1), F.lit("XX"))
-        choice = F.coalesce(*[F.when(F.array_contains("_answers", a), a) for a in (code, group, F.lower(group), F.lit("default"))])
-        mine = F.transform(F.filter("_r", lambda x: x["status"] == choice), lambda x: x["field"])
-        rows = rows.withColumns({"_q": F.coalesce("_q", none), "_b": F.coalesce("_b", none), "_r": F.coalesce(mine, none)})
-    else:
-        rows = rows.withColumns({"_q": none, "_b": none, "_r": none})
+    enums = F.array().cast("array<string>")
+    if spec is not None:
+        # As many entries as the specification has such parameters.
+        for op in sorted({o for o, _ in Bodies(spec).queries}):
+            enums = F.when(F.col("op_key") == op, F.array(*[F.lit(p) for o, p in Bodies(spec).queries if o == op])).otherwise(enums)
     rows = rows.withColumns({"_in": json_text(F.col("request_type"), F.col("request_text")), "_out": json_text(F.col("response_type"), F.col("response_text"))})
-    rows = with_shape(with_shape(rows, "_in", "_request", "_b"), "_out", "_response", "_r")
+    rows = with_shape(rows, "_in", "_request", spec, F.col("op_key"))
+    rows = with_shape(rows, "_out", "_response", spec, F.col("op_key"), F.col("status"))
     return rows.select(
         *[c for c in exchanges.columns if c not in ("ts", "method", "url", "headers", "request_type", "request_text", "response_type", "response_text", "status", "latency_ms", "skipped")],
         event_time(F.col("headers"), time_header, F.col("ts")).alias("ts"), "method", F.col("op_key").alias("operation"), F.when(F.col("op_key").isNull(), C.redact_path(F.col("_path"))).alias("path"), "status", "latency_ms",
-        client_identity(F.col("headers"), mode, salt, header).alias("client"), query_fields(F.col("url"), F.col("_q")).alias("query"), F.col("_request.fields").cast(FIELD).alias("request_body"), F.col("_response.fields").cast(FIELD).alias("response_body"),
+        client_identity(F.col("headers"), mode, salt, header).alias("client"), query_fields(F.col("url"), enums).alias("query"), F.col("_request.fields").cast(FIELD).alias("request_body"), F.col("_response.fields").cast(FIELD).alias("response_body"),
         (F.coalesce("_request.truncated", F.lit(False)) | F.coalesce("_response.truncated", F.lit(False))).alias("truncated"),
     )

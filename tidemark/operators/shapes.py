@@ -1,78 +1,141 @@
-"""Field paths, types and enum values of JSON texts, level by level within each row: no explosion, no shuffle."""
+"""Field paths, types and enum values of JSON texts, in one pass over each text.
+
+A text is walked depth first in its own order, as a parser reads it: of names that repeat in an object the last
+value counts, integers are integers whatever their size, and what follows the first value is ignored.
+Spark's own JSON functions sort names, refuse repeated ones and turn long integers to
+doubles, so the walk is a function over Arrow batches; rows stay where they are, and no row needs another one.
+"""
+
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
+from ..sources.openapi import Spec, child_path, graph, json_media
 
 #: Levels below the root, paths of a body, values of a field.
 DEPTH, MOST_PATHS, MOST_VALUES = 10, 500, 16
-NODES = "array<struct<path:string,v:variant>>"
-
-
-def _type(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(s.isin("VOID") | v.isNull(), "null").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
-        .when(number == F.floor(number), "integer").otherwise("number")
-    )
-
+SHAPE = "fields array<struct<path:string,types:array<string>,values:array<string>>>, truncated boolean"
+
+
+class _Integer(str):
+    """An integer's literal."""
+
+
+def _constant(name: str):
+    raise ValueError(name)
+
+
+_DECODER = json.JSONDecoder(parse_int=_Integer, parse_constant=_constant)
+
+
+def parsed(text: str):
+    """(found, value) of the first JSON value of a text."""
+    try:
+        return True, _DECODER.raw_decode(text.lstrip(" \t\r\n"))[0]
+    except (ValueError, RecursionError):
+        return False, None
+
+
+def type_of(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, _Integer):
+        return "integer"
+    if isinstance(v, float):
+        return "integer" if v.is_integer() else "number"
+    return "string" if isinstance(v, str) else "object" if isinstance(v, dict) else "array"
+
+
+class Bodies:
+    """The schemas of a specification's bodies as a graph to walk along."""
+
+    def __init__(self, spec: Spec):
+        g = graph(spec)
+        self.below: dict[int, dict] = {}
+        for e in g["edges"]:
+            self.below.setdefault(e["node"], {})[e["slot"], e["name"]] = e["child"]
+        self.enums = {n["node"] for n in g["nodes"] if n["enum"] is not None}
+        self.roots: dict[tuple, int] = {}
+        for s in g["slots"]:
+            if s["what"] == "media" and json_media(s["media"]):
+                self.roots.setdefault((s["operation"], s["status"]), s["node"])
+        self.answers = {(s["operation"], s["status"]) for s in g["slots"] if s["what"] == "response"}
+        #: Query parameters that are enums, or arrays of them.
+        kept = [s for s in g["slots"] if s["what"] == "parameter" and s["part"] == "request.query"]
+        self.queries = [(s["operation"], child_path("$", s["label"])) for s in kept if s["node"] in self.enums or self.below.get(s["node"], {}).get(("items", "")) in self.enums]
+
+    def root(self, operation: str | None, code: str | None) -> int | None:
+        """The schema of an operation's request (no code), or of the answer that declares a status."""
+        if code is None:
+            return self.roots.get((operation, None))
+        for a in (code, f"{code[:1]}XX", f"{code[:1]}xx", "default"):
+            if (operation, a) in self.answers:
+                return self.roots.get((operation, a))
+        return None
+
+    def child(self, node: int | None, name: str | None) -> int | None:
+        below = self.below.get(node, {})
+        return below.get(("items", "")) if name is None else below.get(("property", name), below.get(("map", "")))
+
+
+def shape_of(text: str | None, depth: int = DEPTH, most: int = MOST_PATHS, bodies: Bodies | None = None, root: int | None = None) -> tuple[list | None, bool]:
+    """Fields (path, types, values) of a text and whether some were left out; None where it is no JSON."""
+    found, value = parsed(text) if text is not None else (False, None)
+    if not found:
+        return None, False
+    types: dict[str, set] = {}
+    values: dict[str, dict] = {}
+    cut = False
+    stack = [(value, root, "$", 0)]
+    while stack:
+        v, node, path, level = stack.pop()
+        seen = types.get(path)
+        if seen is None:
+            if len(types) >= most:
+                cut = True
+                continue
+            seen = types[path] = set()
+        kind = type_of(v)
+        seen.add(kind)
+        if kind in ("object", "array"):
+            if level >= depth:
+                cut = cut or bool(v)
+            elif kind == "object":
+                stack.extend([(w, bodies.child(node, k) if bodies else None, child_path(path, k), level + 1) for k, w in reversed(v.items())])
+            else:
+                inner = bodies.child(node, None) if bodies else None
+                stack.extend([(w, inner, path + "[]", level + 1) for w in reversed(v)])
+        elif kind != "null" and bodies and node in bodies.enums:
+            kept = values.setdefault(path, {})
+            if len(kept) < MOST_VALUES:
+                kept[str(v).lower() if kind == "boolean" else str(v)] = None
+    return [{"path": p, "types": sorted(t), "values": list(values[p]) if p in values else None} for p, t in types.items()], cut
+
+
+def with_shape(df: DataFrame, body: str, out: str, spec: Spec | None = None, operation: Column | None = None, code: Column | None = None, depth: int = DEPTH, most: int = MOST_PATHS) -> DataFrame:
+    """df with `out`: struct of fields (path, types, values) and truncated; null where the text is no JSON.
 
-def _children(node: Column) -> Column:
-    """What an object or array holds, as nodes; an object's names make paths, array places all are []."""
-    named = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
-    listed = F.try_variant_get(node["v"], "$", "array<variant>")
-    inner = F.transform(named, lambda e: F.struct(C.child_path(node["path"], e["key"]).alias("path"), e["value"].alias("v")))
-    items = F.transform(listed, lambda x: F.struct(F.concat(node["path"], F.lit("[]")).alias("path"), x.alias("v")))
-    return F.coalesce(inner, items, F.array().cast(NODES))
+    Of fields that the specification declares as enums, for this operation's request or its answer to
+    `code`, the first MOST_VALUES values are kept.  The first `most` paths stay; what lies deeper
+    than `depth` is left out; either sets truncated.
+    """
+    bodies = Bodies(spec) if spec else None
 
+    def run(text, op, status):
+        import pandas as pd
 
-def with_shape(df: DataFrame, body: str, out: str, enums: str | None = None, depth: int = DEPTH, most: int = MOST_PATHS) -> DataFrame:
-    """df with `out`: struct of fields (path, types, values) and truncated; null where the text is no JSON.
+        rows = [shape_of(t, depth, most, bodies, bodies.root(o, s) if bodies else None) for t, o, s in zip(text, op, status, strict=True)]
+        return pd.DataFrame(rows, columns=["fields", "truncated"])
 
-    enums names a column of the paths whose scalars are kept as values, at most MOST_VALUES of each.
-    Of more than `most` paths those that come first stay, from the root down; what lies deeper than
-    `depth` is left out; either sets truncated.
-    """
-    root = F.try_parse_json(F.col(body))
-    df = df.withColumn("_0", F.when(root.isNotNull(), F.array(F.struct(F.lit("$").alias("path"), root.alias("v")))))
-    for d in range(depth):
-        df = df.withColumn(f"_{d + 1}", F.flatten(F.transform(f"_{d}", _children)))
-    kept = lambda n: F.when(F.array_contains(F.col(enums), n["path"]) & ~_type(n["v"]).isin("null", "object", "array"), F.try_variant_get(n["v"], "$", "string")) if enums else F.lit(None).cast("string")
-    flat = lambda d: F.transform(f"_{d}", lambda n: F.struct(n["path"].alias("path"), _type(n["v"]).alias("type"), kept(n).alias("value")))
-    df = df.withColumn("_nodes", F.concat(*[flat(d) for d in range(depth + 1)]))
-    df = df.withColumn("_deeper", F.size(F.flatten(F.transform(f"_{depth}", _children))) > 0)
-    df = df.withColumn("_paths", F.array_distinct(F.transform("_nodes", lambda n: n["path"])))
-
-    def field(p: Column) -> Column:
-        own = F.filter("_nodes", lambda n: n["path"] == p)
-        values = F.slice(F.array_distinct(F.array_compact(F.transform(own, lambda n: n["value"]))), 1, MOST_VALUES)
-        return F.struct(p.alias("path"), F.array_sort(F.array_distinct(F.transform(own, lambda n: n["type"]))).alias("types"), F.when(F.size(values) > 0, values).alias("values"))
-
-    fields = F.transform(F.slice("_paths", 1, most), field)
-    shape = F.when(F.col("_nodes").isNotNull(), F.struct(fields.alias("fields"), (F.col("_deeper") | (F.size("_paths") > most)).alias("truncated")))
-    return df.withColumn(out, shape).drop("_nodes", "_deeper", "_paths", *[f"_{d}" for d in range(depth + 1)])
+    blank = F.lit(None).cast("string")
+    shape = F.pandas_udf(run, SHAPE)(F.col(body), operation if operation is not None else blank, code.cast("string") if code is not None else blank)
+    return df.withColumn(out, shape).withColumn(out, F.when(F.col(out)["fields"].isNotNull(), F.col(out)))
 
 
 def shapes(df: DataFrame, key: str, body: str, depth: int = DEPTH, most: int = MOST_PATHS) -> DataFrame:
-    """Rows (key, path, types) for every field path of a JSON text; array indexes collapse to [].
-
-    Texts that are no JSON give no rows.  Paths beyond depth are left out; of more
-    than `most` paths in a text the first in path order stay.
-    """
-    level = df.select(F.col(key), F.try_parse_json(F.col(body)).alias("v"), F.lit("$").alias("path")).where("v IS NOT NULL")
-    parts = []
-    for d in range(depth + 1):
-        parts.append(level.select(key, "path", _type(F.col("v")).alias("type")))
-        if d < depth:
-            level.createOrReplaceTempView("_shape_level")
-            inner = df.sparkSession.sql(f"SELECT l.`{key}`, l.path, c.key AS name, c.value AS v FROM _shape_level AS l, LATERAL variant_explode(l.v) AS c")
-            level = inner.select(key, "v", F.when(F.col("name").isNull(), F.concat("path", F.lit("[]"))).otherwise(C.child_path(F.col("path"), F.col("name"))).alias("path"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
-    out = rows.groupBy(key, "path").agg(F.sort_array(F.collect_set("type")).alias("types"))
-    from pyspark.sql import Window
-
-    return out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("path"))).where(F.col("_n") <= most).drop("_n")
+    """Rows (key, path, types) for every field path of a JSON text; texts that are no JSON give no rows."""
+    fields = with_shape(df.select(key, body), body, "_shape", depth=depth, most=most)
+    return fields.select(key, F.explode("_shape.fields").alias("f")).select(key, "f.path", "f.types")

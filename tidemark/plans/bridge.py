@@ -48,7 +48,7 @@ def _spec(first: bool) -> openapi.Spec:
 OLD, NEW = _spec(True), _spec(False)
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traffic(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("kind"), "value", k.alias("k"))
@@ -74,38 +74,36 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumns({"status": status})
     return e.select(
         "event_id", "ts", F.when(post, "POST").otherwise("GET").alias("method"), F.lit(None).cast("string").alias("operation"), path.alias("path"), "status", F.col("value").alias("latency_ms"), client.alias("client"),
-        F.when(post, F.array().cast(FIELD)).otherwise(query).alias("query"), F.when(post, body).alias("request_body"), F.when(F.col("status") < 300, answer).alias("response_body"), F.lit(False).alias("truncated"),
+        F.when(post, F.array().cast(FIELD)).otherwise(query).alias("query"), F.when(post, body).alias("request_body"), F.when(F.col("status") < 300, answer).alias("response_body"), F.lit(False).alias("truncated"), *more,
     )
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same traffic as HAR texts, one for each user: urls with queries, headers, JSON bodies, every other one in base64."""
-    e = traffic(spark, sf_dir)
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    e = e.join(raw, "event_id")
+    """The same traffic as HAR texts, one for each user: urls with queries, headers, one without a name, JSON bodies with long integers and repeated names, every other one in base64."""
+    e = traffic(spark, sf_dir, "user_id", "k")
     k, some = F.col("k"), lambda c, v: F.when(c, v)
     post = F.col("method") == "POST"
     query = F.concat_ws("&", some(k % 2 == 0, F.lit("limit=1")), some(k % 3 == 0, F.lit("sort=a%20b")), some(k % 11 == 0, F.lit("debug")))
     url = F.concat(F.lit("https://api.example.com"), F.col("path"), F.when(post | (query == ""), "").otherwise(F.concat(F.lit("?"), query)))
     tags = F.struct(F.when(k % 12 == 0, F.lit('"x"')).otherwise(F.lit("1")).alias("a"))
     parts = [
-        F.lit('"title":"t"'), F.concat(F.lit('"qty":'), F.when(k % 7 == 0, "1.5").otherwise("2.0")), F.concat(F.lit('"plan":"'), F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("team")), k % 3 + 1), F.lit('"')),
+        F.lit('"title":"t"'), F.concat(F.lit('"qty":'), F.when(k % 7 == 0, '2.0,"qty":1.5').otherwise("2.0")), F.concat(F.lit('"plan":"'), F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("team")), k % 3 + 1), F.lit('"')),
         some(k % 5 == 0, F.lit('"note":"n"')), some(k % 4 != 0, F.lit('"email":"e"')), some(k % 6 == 0, F.concat(F.lit('"tags":{"a":'), tags["a"], F.lit("}"))),
     ]
     sent = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    got = F.concat(F.lit('{"id":1,'), F.concat_ws(",", some(k % 2 == 0, F.lit('"legacy_id":2')), some(k % 9 == 0, F.lit('"internal_score":0.5')), F.concat(F.lit('"servings":'), F.when(k % 10 == 0, '"s"').otherwise("3"))), F.lit("}"))
+    got = F.concat(F.lit('{"id":'), F.repeat(F.lit("12345678"), k % 6 + 1), F.lit(","), F.concat_ws(",", some(k % 2 == 0, F.lit('"legacy_id":2')), some(k % 9 == 0, F.lit('"internal_score":0.5')), F.concat(F.lit('"servings":'), F.when(k % 10 == 0, '"s"').otherwise("3"))), F.lit("}"))
     coded = F.col("event_id") % 2 == 0
     text = F.when(F.col("status") < 300, F.when(coded, F.base64(got.cast("binary"))).otherwise(got))
     entry = F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("startedDateTime"), F.col("latency_ms").alias("time"),
-        F.struct(F.lower("method").alias("method"), url.alias("url"), F.array(F.struct(F.lit("x-USER").alias("name"), F.when(F.col("client").isNotNull(), F.col("user_id").cast("string")).otherwise("").alias("value"))).alias("headers"), F.when(post, F.struct(F.lit("application/json; charset=utf-8").alias("mimeType"), sent.alias("text"))).alias("postData")).alias("request"),
+        F.struct(F.lower("method").alias("method"), url.alias("url"), F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit("x").alias("value")), F.struct(F.lit("x-USER").alias("name"), F.when(F.col("client").isNotNull(), F.col("user_id").cast("string")).otherwise("").alias("value"))).alias("headers"), F.when(post, F.struct(F.lit("application/json; charset=utf-8").alias("mimeType"), sent.alias("text"))).alias("postData")).alias("request"),
         F.struct("status", F.struct(F.lit("text/plain").alias("mimeType"), text.alias("text"), F.when(coded, "base64").alias("encoding")).alias("content")).alias("response"),
     )
     return e.groupBy("user_id").agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entries")).alias("log"))).alias("value")).select("value")
 
 
 def known_routes(spark: SparkSession) -> DataFrame:
-    return routes.build_routes(spark, [(o.method, o.path) for o in OLD.operations()], OLD.base_paths())
+    return routes.build_routes([(o.method, o.path) for o in OLD.operations()], OLD.base_paths())
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,13 +135,14 @@ def events_round_trip(spark, sf_dir):
 
 
 @query(
-    "SELECT reason AS rejected, count(*) AS n FROM (SELECT CASE event_id % 10 WHEN 0 THEN 'unknown version' WHEN 1 THEN 'not JSON' WHEN 2 THEN 'neither operation nor path' WHEN 3 THEN 'no status' WHEN 4 THEN 'no timestamp' ELSE 'good' END AS reason FROM t) GROUP BY ALL"
+    "SELECT reason AS rejected, count(*) AS n FROM (SELECT CASE event_id % 10 WHEN 0 THEN 'unknown version' WHEN 1 THEN 'not JSON' WHEN 2 THEN 'neither operation nor path' WHEN 3 THEN 'no status' WHEN 4 THEN 'no timestamp' WHEN 5 THEN 'no timestamp' WHEN 6 THEN 'bad field' ELSE 'good' END AS reason FROM t) GROUP BY ALL"
 )
 def events_rejected(spark, sf_dir):
     e = T.to_lines(bridge.traffic(spark, sf_dir)).select("event_id", "value")
     n = F.col("event_id") % 10
     v = F.col("value")
-    broken = F.when(n == 0, F.regexp_replace(v, r'^\{"v":1', '{"v":2')).when(n == 1, F.concat(F.lit("x"), v)).when(n == 2, F.regexp_replace(v, r'"path":"/[^"]*",', "")).when(n == 3, F.regexp_replace(v, r'"status":[0-9]+,', "")).when(n == 4, F.regexp_replace(v, r'"ts":"[^"]*",', "")).otherwise(v)
+    broken = F.when(n == 0, F.regexp_replace(v, r'^\{"v":1', '{"v":2')).when(n == 1, F.concat(F.lit("x"), v)).when(n == 2, F.regexp_replace(v, r'"path":"/[^"]*",', "")).when(n == 3, F.regexp_replace(v, r'"status":[0-9]+,', "")).when(n == 4, F.regexp_replace(v, r'"ts":"[^"]*",', "")).when(n == 5, F.regexp_replace(v, r'"ts":"([^"T]*)T[^"]*"', r'"ts":"$1"'))
+    broken = broken.when(n == 6, F.replace(F.replace(v, F.lit('"query":['), F.lit('"query":[{"path":"$.q","types":["string","text"]},')), F.lit("},]"), F.lit("}]"))).when(n == 7, F.regexp_replace(v, '"v":1', '"v":3,"v":1')).otherwise(v)
     return T.parse_lines(e.withColumn("value", broken)).groupBy(F.coalesce("rejected", F.lit("good")).alias("rejected")).agg(F.count("*").alias("n"))
 
 
@@ -572,8 +573,7 @@ def har_scan(spark, sf_dir):
 @query("SELECT kind, operation, part, status, CASE WHEN kind = 'UNMATCHED' THEN regexp_replace(field, '[0-9]+$', '{*}') ELSE field END AS field, detail, client, day, CAST(sum(count) AS BIGINT) AS count, min(first_ts) AS first_ts, max(last_ts) AS last_ts FROM cells GROUP BY ALL")
 def har_cells(spark, sf_dir):
     """Each user's traffic as a HAR archive with headers, query strings and bodies, sanitised to events and counted."""
-    t = bridge.spec_tables(spark)
-    found = sanitise.sanitise(T.har_entries(bridge.archives(spark, sf_dir)), bridge.known_routes(spark), t["declared"], t["responses"], bridge.SALT, "header", "X-User")
+    found = sanitise.sanitise(T.har_entries(bridge.archives(spark, sf_dir)), bridge.known_routes(spark), bridge.OLD, bridge.SALT, "header", "X-User")
     return _plain(cells.build_cells(routes.resolve(found, bridge.known_routes(spark))))
 
 

@@ -206,9 +206,13 @@ class Spec:
         return rows
 
 
+def json_media(media: str) -> bool:
+    return media in ("application/json", "*/*", "application/*") or media.endswith("+json")
+
+
 def json_schema(content: dict) -> list:
     """The schema of the first JSON media type, if there is one."""
-    found = [s for m, s in content.items() if m in ("application/json", "*/*", "application/*") or m.endswith("+json")]
+    found = [s for m, s in content.items() if json_media(m)]
     return [s for s in found[:1] if s is not None]
 
 

@@ -9,27 +9,34 @@ FIELD = "array<struct<path:string,types:array<string>,values:array<string>>>"
 EVENT = f"ts timestamp, method string, operation string, path string, status int, latency_ms double, client string, query {FIELD}, request_body {FIELD}, response_body {FIELD}, truncated boolean"
 LINE = (
     "struct<v:int,ts:string,method:string,operation:string,path:string,status:int,latency_ms:double,client:string,"
-    f"request:struct<query:{FIELD},body:{FIELD},truncated:boolean>,response:struct<body:{FIELD},truncated:boolean>>"
+    f"request:struct<query:{FIELD},body:{FIELD},truncated:boolean>,response:struct<body:{FIELD},truncated:boolean>,_bad:string>"
 )
 
 
+#: Fixed value: the form of an instant in an event line.
+INSTANT = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d{0,9})?([Zz]|[+-]\d{2}:\d{2})$"
+
+
 def _clean(fields: Column) -> Column:
-    return F.transform(fields, lambda f: F.struct(f["path"].alias("path"), F.array_distinct(F.filter(f["types"], lambda t: t.isin(C.TYPES))).alias("types"), f["values"].alias("values")))
+    return F.transform(fields, lambda f: F.struct(f["path"].alias("path"), F.array_distinct(f["types"]).alias("types"), f["values"].alias("values")))
 
 
 def _bad(fields: Column) -> Column:
-    return F.exists(F.coalesce(fields, F.array().cast(FIELD)), lambda f: F.coalesce(~f["path"].startswith("$"), F.lit(True)) | (F.size(F.filter(F.coalesce(f["types"], F.array().cast("array<string>")), lambda t: t.isin(C.TYPES))) == 0))
+    """A field without a `$` path, without types, or with one that JSON does not have."""
+    known = lambda types: F.coalesce((F.size(types) > 0) & F.forall(types, lambda t: F.coalesce(t.isin(C.TYPES), F.lit(False))), F.lit(False))
+    return F.exists(F.coalesce(fields, F.array().cast(FIELD)), lambda f: F.coalesce(~f["path"].startswith("$"), F.lit(True)) | ~known(f["types"]))
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Event columns and `rejected`, the reason why a line is no event (null for good ones)."""
-    x = F.from_json(column, LINE)
+    x = F.from_json(column, LINE, {"columnNameOfCorruptRecord": "_bad"})
     rows = lines.withColumn("_x", x)
     g = lambda n: F.col(f"_x.{n}")
+    ts = F.when(g("ts").rlike(INSTANT), F.try_to_timestamp(g("ts")))
     reason = (
-        F.when(F.try_parse_json(F.col(column)).isNull() | F.col("_x").isNull(), "not JSON")
+        F.when(F.col("_x").isNull() | g("_bad").isNotNull(), "not JSON")
         .when(F.coalesce(g("v") != 1, F.lit(True)), "unknown version")
-        .when(F.try_to_timestamp(g("ts")).isNull(), "no timestamp")
+        .when(ts.isNull(), "no timestamp")
         .when(g("method").isNull(), "no method")
         .when(g("status").isNull(), "no status")
         .when(g("operation").isNull() & g("path").isNull(), "neither operation nor path")
@@ -37,7 +44,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     )
     return rows.withColumn("rejected", reason).select(
         *[c for c in lines.columns],
-        F.try_to_timestamp(g("ts")).alias("ts"), g("method").alias("method"), g("operation").alias("operation"), g("path").alias("path"), g("status").alias("status"),
+        ts.alias("ts"), g("method").alias("method"), g("operation").alias("operation"), g("path").alias("path"), g("status").alias("status"),
         g("latency_ms").alias("latency_ms"), g("client").alias("client"),
         F.coalesce(_clean(g("request.query")), F.array().cast(FIELD)).alias("query"), _clean(g("request.body")).alias("request_body"), _clean(g("response.body")).alias("response_body"),
         F.coalesce(g("response.truncated"), F.lit(False)).alias("truncated"), "rejected",
@@ -72,7 +79,7 @@ def har_entries(archives: DataFrame, column: str = "value", strict: bool = False
     text = F.col("e.response.content.text")
     body = F.when(F.col("e.response.content.encoding") == "base64", F.try_to_binary(text, F.lit("base64")).cast("string")).otherwise(text)
     ts = F.try_to_timestamp(F.col("e.startedDateTime"))
-    heads = F.transform(F.coalesce(F.col("e.request.headers"), F.array().cast("array<struct<name:string,value:string>>")), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
+    heads = F.transform(F.coalesce(F.col("e.request.headers"), F.array().cast("array<struct<name:string,value:string>>")), lambda h: F.struct(F.lower(F.coalesce(h["name"], F.lit(""))).alias("name"), F.coalesce(h["value"], F.lit("")).alias("value")))
     first = F.map_from_entries(F.filter(heads, lambda h, i: ~F.exists(F.slice(heads, F.lit(1), i), lambda g: g["name"] == h["name"])))
     return rows.select(
         ts.alias("ts"), F.col("e.request.method").alias("method"), F.col("e.request.url").alias("url"), first.alias("headers"),
