@@ -4,7 +4,6 @@ from tidemark.functions import columns as C
 from tidemark.operators import cells, impact
 from tidemark.plans import bridge, queries
 from tidemark.sources import openapi, traffic
-from tidemark.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,18 +33,8 @@ def test_severity_needs_recent(spark):
     assert [level(0, 0, 0, 9), level(1, 0, 0, 0), level(1, 0, 1, 9), level(2, 1, 1, 50), level(2, 1, 1, 10), level(2, 1, 1, 2), level(1, 0, 1, 9, True)] == ["NONE_OBSERVED", "DORMANT", "LOW", "MEDIUM", "HIGH", "CRITICAL", "HIGH"]
 
 
-def test_stream_equals_batch_and_replay(spark, tmp_path):
-    e = traffic.to_lines(bridge.traffic(spark, SF)).select("value")
-    e.repartition(3).write.text(str(tmp_path / "in"))
-    r = bridge.known_routes(spark)
-    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), r, 1).trigger(availableNow=True).start().awaitTermination()
-    live = cells.fingerprint(ingest.live_cells(spark, str(tmp_path / "out"))).first()
-    assert live == cells.fingerprint(ingest.replay(spark, str(tmp_path / "out"), r)).first()
-    assert live == cells.fingerprint(bridge.cube(spark, SF)).first()
-
-
 def test_plans(spark):
-    plan = bridge.cube(spark, SF)._jdf.queryExecution().toString()
+    plan = bridge.fresh_cube(spark, SF)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert "Python" not in physical and "PushedFilters" in physical
     assert impact.CHANGE and {"cells_build", "impact_ranked"} <= set(queries.QUERIES)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import cells, diff, drift, evaluation, explorer, impact, report, routes, sanitise, shapes, views
-from tidemark.plans import bridge
+from tidemark.plans import bridge, queries
 from tidemark.sources import openapi, traffic
 
 END = datetime(2026, 9, 30, 12)
@@ -181,7 +181,13 @@ def test_yaml_leading_zeros_and_maps():
     assert tags[4] == ["integer"]
 
 
-def test_one_scan(spark):
-    for df in (bridge.resolved(spark, "/root/testdata/sf0.001"), views.field_presence(bridge.cube(spark, "/root/testdata/sf0.001"))):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Scan parquet") == 1 and "SortMergeJoin" not in plan
+def test_scans(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = bridge.resolved(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan
+    plan = views.field_presence(bridge.cube(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and "PartitionFilters: [kind" in plan
+    # Views read stored cells and never build them from events.
+    for name in ("contract_fields", "drift_unused_fields", "client_timeline", "report_header", "impact_ranked", "latency_percentiles"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "event_id" not in plan and "props" not in plan

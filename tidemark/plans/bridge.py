@@ -1,13 +1,15 @@
 """Traffic derived from the driver's `events` table, and the two specifications that go with it."""
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cells, diff, impact, routes
-from ..sources import openapi
+from ..sources import openapi, shared
 from ..sources.traffic import FIELD
+from ..streaming.store import Store
 
 SALT = "salt"
 CONFIG = impact.Config(recent_days=3, stale_days=12)
@@ -50,6 +52,9 @@ OLD, NEW = _spec(True), _spec(False)
 
 def traffic(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if e.rdd.getNumPartitions() < cores:  # a table of few files would keep few cores busy
+        e = e.repartition(cores)
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("kind"), "value", k.alias("k"))
     # One user in six fell silent in the middle of the month and one a week before its end: their later events lie earlier.
@@ -110,10 +115,22 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.resolve(traffic(spark, sf_dir), known_routes(spark))
 
 
-def cube(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
-    """Cells; keep them where a query reads many views, as filters on kinds would else build the cube for each."""
-    made = cells.build_cells(resolved(spark, sf_dir))
-    return made.persist(StorageLevel.DISK_ONLY) if keep else made
+def fresh_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells counted from the events."""
+    return cells.build_cells(resolved(spark, sf_dir))
+
+
+_CUBES: dict[tuple, DataFrame] = {}
+
+
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as the store holds them: a table's events are taken in once an application, and views read what they filter."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _CUBES:
+        store = Store(spark, f"{shared.folder(spark)}/traffic-{uuid.uuid4().hex}", known_routes(spark))
+        store.append(traffic(spark, sf_dir), "all")
+        _CUBES[key] = store.cells()
+    return _CUBES[key]
 
 
 def spec_tables(spark: SparkSession) -> dict[str, DataFrame]:

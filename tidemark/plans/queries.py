@@ -167,7 +167,7 @@ def window_filter(spark, sf_dir):
 
 @query("SELECT * FROM cells")
 def cells_build(spark, sf_dir):
-    return _plain(bridge.cube(spark, sf_dir))
+    return _plain(bridge.fresh_cube(spark, sf_dir))
 
 
 @query("SELECT * FROM cells")
@@ -343,7 +343,7 @@ _RANKED = "," + CHANGES + _HITS.replace("ch.grp", "grp").replace("FROM ch CROSS
 
 
 def _impact(spark, sf_dir):
-    return impact.impact(bridge.cube(spark, sf_dir, keep=True), bridge.changes(spark), bridge.spec_tables(spark)["responses"], bridge.CONFIG)
+    return impact.impact(bridge.cube(spark, sf_dir), bridge.changes(spark), bridge.spec_tables(spark)["responses"], bridge.CONFIG)
 
 
 @query(
@@ -365,7 +365,7 @@ def impact_by_severity(spark, sf_dir):
 
 @query(_RANKED + " SELECT id, client, requests, last_ts, CAST(row_number() OVER (PARTITION BY id ORDER BY requests DESC, client) AS INTEGER) AS place FROM hits WHERE client <> '' QUALIFY place <= 10")
 def impact_top_clients(spark, sf_dir):
-    h = impact.hits(bridge.cube(spark, sf_dir, keep=True), bridge.changes(spark), bridge.spec_tables(spark)["responses"])
+    h = impact.hits(bridge.cube(spark, sf_dir), bridge.changes(spark), bridge.spec_tables(spark)["responses"])
     return _plain(impact.top_clients(h).select("id", "client", "requests", "last_ts", "place"))
 
 
@@ -389,7 +389,7 @@ links AS (SELECT id, operation, client, requests FROM top JOIN first10 USING (id
 SELECT id, operation, CASE WHEN client IN (SELECT client FROM heavy) THEN client ELSE 'other' END AS client, CAST(sum(requests) AS BIGINT) AS requests FROM links GROUP BY ALL"""
 )
 def blast_radius(spark, sf_dir):
-    cube = bridge.cube(spark, sf_dir, keep=True)
+    cube = bridge.cube(spark, sf_dir)
     answers = bridge.spec_tables(spark)["responses"]
     top = impact.top_clients(impact.hits(cube, bridge.changes(spark), answers))
     return views.blast_radius(_impact(spark, sf_dir), top.select("id", "client", "requests"))
@@ -608,7 +608,7 @@ def report_header(spark, sf_dir):
 @query()
 def report_json(spark, sf_dir):
     """The whole report as one JSON text; its rows, header and drift have queries with SQL of their own."""
-    cube, t = bridge.cube(spark, sf_dir, keep=True), bridge.spec_tables(spark)
+    cube, t = bridge.cube(spark, sf_dir), bridge.spec_tables(spark)
     rows = impact.impact(cube, bridge.changes(spark), t["responses"], bridge.CONFIG)
     said = report.describe(*map(F.col, ("kind", "operation", "part", "field", "status", "from", "to")))
     rows = report.confidence(rows.withColumn("description", said), cube, fold_days(cube)).select("rank", "rank_spec_only", "id", "kind", "operation", "part", "field", "description", "evidence", "severity", "clients", "requests", "recent", "stale", "share_recent", "operations_touched", "events_in_scope", "unseen_rate_upper_95", "tier")

@@ -1,35 +1,45 @@
-"""Live ingest: event lines to an event log and delta cells, idempotent by batch; replay and compaction."""
+"""Live ingest: event lines to the store of events and cells, idempotent by batch, with its housekeeping between batches."""
+
+from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import cells as cube
 from ..operators import routes as R
 from ..sources.traffic import parse_lines
+from .store import Store
 
 
-def ingest(spark: SparkSession, source: str, root: str, routes: DataFrame, max_files: int = 1000):
+def ingest(spark: SparkSession, source: str, root: str, routes: R.Routes, max_files: int = 1000, compact_after: int = 50, retain_days: int | None = None, today: Callable[[], date] = date.today):
     """A streaming query over text files of events.
 
-    Each batch overwrites its own folder, so that a batch that runs again changes
-    nothing.  No watermark: late events count as well, since cells only add up.
+    A batch that runs again changes nothing.  No watermark: late events count as well, since
+    cells only add up.  Between batches, folders are merged once `compact_after` count, and days
+    more than `retain_days` before `today()` are left out, if any is held.
     """
     lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).text(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = parse_lines(batch).withColumn("day", F.to_date("ts"))
-        rows.where("rejected IS NULL").drop("rejected", "value").write.mode("overwrite").parquet(f"{root}/events/batch={number}")
+        store = Store(batch.sparkSession, root, routes)
+        rows = parse_lines(batch)
         rows.where("rejected IS NOT NULL").select("value", "rejected").write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
-        good = batch.sparkSession.read.parquet(f"{root}/events/batch={number}")
-        cube.build_cells(R.resolve(good, routes)).write.mode("overwrite").parquet(f"{root}/cells/batch={number}")
+        store.append(rows.where("rejected IS NULL").drop("rejected", "value"), f"batch-{number}")
+        if retain_days is not None:
+            store.retain(today() - timedelta(days=retain_days))
+        if len(store.manifest()["cells"]) > compact_after:
+            store.compact()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
 
 
-def live_cells(spark: SparkSession, root: str) -> DataFrame:
-    return cube.merge_cells(spark.read.parquet(f"{root}/cells").drop("batch"))
+def live_cells(spark: SparkSession, root: str, routes: R.Routes) -> DataFrame:
+    return Store(spark, root, routes).cells()
+
+
+def replay(spark: SparkSession, root: str, routes: R.Routes, under: R.Routes | None = None) -> DataFrame:
+    """Cells of the whole event log matched anew, with `under` as another specification has them."""
+    log = Store(spark, root, routes).log().drop("op_key", "day")
+    return cube.build_cells(R.resolve(log, under or routes))
 
 
-def replay(spark: SparkSession, root: str, routes: DataFrame) -> DataFrame:
-    """Cells from the whole event log, as after a change of the specification."""
-    return cube.build_cells(R.resolve(spark.read.parquet(f"{root}/events"), routes))
