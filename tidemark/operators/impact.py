@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .cells import fold
-from .views import active_clients, status_answers
 
 CHANGE = "id int, kind string, operation string, part string, field string, status string, `from` array<string>, `to` array<string>, breaking boolean, source string, direction string, truncated boolean"
 
@@ -23,54 +22,65 @@ class Config:
     identity: bool = True
 
 
+OBSERVABLE = ["request.query", "request.body"]
+#: Kinds of cells that rules count.
+COUNTED = ["CALL", "REQUEST_BODY", "FIELD", "TYPE", "VALUE", "STATUS"]
+
+
+def _rules(changes: DataFrame, cells: DataFrame, responses: DataFrame) -> DataFrame:
+    """Breaking changes with what their rules ask: the parent of a field, the operation's answers, whether values were captured.
+
+    As many rows as two specifications have changes.
+    """
+    ch = changes.where("breaking").select("id", "kind", "operation", F.col("part").alias("c_part"), F.col("field").alias("c_field"), F.col("status").alias("wanted"), "from", "to", C.parent_path(F.col("field")).alias("parent"))
+    answers = responses.groupBy("operation").agg(F.collect_set("answer").alias("answers"))
+    captured = cells.where("kind = 'CAPTURED'").join(F.broadcast(ch.where("kind = 'request_enum_narrowed'").select("id", "operation", "c_part", "c_field")), "operation").where("part = c_part AND field = c_field").select("id").distinct().withColumn("captured", F.lit(True))
+    ch = ch.join(F.broadcast(answers), "operation", "left").join(F.broadcast(captured), "id", "left")
+    known = F.coalesce(F.col("captured") & F.col("from").isNotNull() & F.col("to").isNotNull(), F.lit(False))
+    seen = F.coalesce(F.col("c_part").isin(OBSERVABLE), F.lit(False))
+    kind, body = F.col("kind"), F.col("c_part") == "request.body"
+    rule = (
+        F.when(kind == "operation_removed", "call").when(kind == "request_field_removed", F.when(seen, "field"))
+        .when(kind.isin("request_field_added_required", "request_field_made_required"), F.when(seen, F.when(body, "parent").otherwise("call without field")))
+        .when(kind == "request_type_changed", F.when(body, "type").when(seen, "field"))
+        .when(kind == "request_enum_narrowed", F.when(known, "value").otherwise("field"))
+        .when(kind == "request_body_removed", "body").when(kind.isin("request_body_added", "request_body_made_required"), "call without body")
+        .when(kind.startswith("response") | ((kind == "media_type_removed") & F.col("wanted").isNotNull()), "status")
+    )
+    loose = kind.startswith("response") | (kind == "media_type_removed") | ((kind.startswith("request_field") | (kind == "request_type_changed")) & ~seen) | ((kind == "request_type_changed") & ~body) | ((kind == "request_enum_narrowed") & ~known)
+    ch = ch.withColumns({"rule": F.coalesce(rule, F.when(loose, "call")), "evidence": F.when(loose, "POTENTIAL").otherwise("OBSERVED"), "lost": F.array_except("from", "to")})
+    return ch.where("rule IS NOT NULL").drop("kind", "captured", "from")
+
+
 def hits(cells: DataFrame, changes: DataFrame, responses: DataFrame) -> DataFrame:
-    """(id, client, requests, first_ts, last_ts, evidence) by the rules of each kind of change."""
-    ch = F.broadcast(changes.where("breaking"))
-    # Only cells of operations that change matter from here on.
-    cells = cells.join(F.broadcast(changes.where("breaking").select("operation").distinct()), "operation", "left_semi")
-    by = ["operation", "client"]
-    val = lambda d, *more: d.select("id", "client", F.col("count").alias("requests"), "first_ts", "last_ts", F.lit(more[0]).alias("evidence"))
-    calls = fold(cells, "CALL", *by)
-    body = fold(cells, "REQUEST_BODY", *by)
-    fields = fold(cells.where("part LIKE 'request%'"), "FIELD", "operation", "part", "field", "client")
-    observable = "part IN ('request.query', 'request.body')"
-    parts = [val(ch.where("kind = 'operation_removed'").join(calls, "operation"), "OBSERVED")]
-    parts.append(val(ch.where(f"kind = 'request_field_removed' AND {observable}").join(fields, ["operation", "part", "field"]), "OBSERVED"))
-    # Senders of the parent without the field.
-    need = ch.where(f"kind IN ('request_field_added_required', 'request_field_made_required') AND {observable}").withColumn("parent", C.parent_path(F.col("field")))
-    up = fields.select("operation", "part", F.col("field").alias("parent"), "client", "count", "first_ts", "last_ts")
-    parents = need.where("part = 'request.body'").join(up, ["operation", "part", "parent"]).unionByName(need.where("part = 'request.query'").join(calls, "operation"))
-    own = fields.select("operation", "part", "field", "client", F.col("count").alias("own"))
-    missing = parents.join(own, ["operation", "part", "field", "client"], "left").withColumn("count", F.col("count") - F.coalesce("own", F.lit(0))).where("count > 0")
-    parts.append(val(missing, "OBSERVED"))
-    types = fold(cells.where("part = 'request.body'"), "TYPE", "operation", "part", "field", "client", "detail")
-    wrong = ch.where("kind = 'request_type_changed' AND part = 'request.body'").join(types, ["operation", "part", "field"]).where(~F.array_contains("to", F.col("detail")) & ~((F.col("detail") == "integer") & F.array_contains("to", F.lit("number"))))
-    wrong = wrong.groupBy("id", "operation", "part", "field", "client").agg(F.sum("count").alias("bad"))
-    capped = wrong.join(fields, ["operation", "part", "field", "client"]).withColumn("count", F.least("bad", "count"))
-    parts.append(val(capped, "OBSERVED"))
-    parts.append(val(ch.where("kind = 'request_type_changed' AND part = 'request.query'").join(fields, ["operation", "part", "field"]), "POTENTIAL"))
-    captured = fold(cells, "CAPTURED", "operation", "part", "field").select("operation", "part", "field", F.lit(True).alias("captured"))
-    narrowed = ch.where("kind = 'request_enum_narrowed'").join(captured, ["operation", "part", "field"], "left").withColumn("known", F.col("captured").isNotNull() & F.col("from").isNotNull() & F.col("to").isNotNull())
-    values = fold(cells, "VALUE", "operation", "part", "field", "client", "detail")
-    gone = narrowed.where("known").join(values, ["operation", "part", "field"]).where(F.array_contains(F.array_except("from", "to"), F.col("detail")))
-    gone = gone.groupBy("id", "client").agg(F.sum("count").alias("count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
-    parts.append(val(gone, "OBSERVED"))
-    parts.append(val(narrowed.where("NOT known").join(fields, ["operation", "part", "field"]), "POTENTIAL"))
-    parts.append(val(ch.where("kind = 'request_body_removed'").join(body, "operation"), "OBSERVED"))
-    without = calls.join(body.select(*by, F.col("count").alias("own")), by, "left").withColumn("count", F.col("count") - F.coalesce("own", F.lit(0))).where("count > 0")
-    parts.append(val(ch.where("kind IN ('request_body_added', 'request_body_made_required')").join(without, "operation"), "OBSERVED"))
-    # Whoever got the answer that changes might read it.
-    got = fold(cells, "STATUS", "operation", "status", "client").withColumnRenamed("status", "code").join(F.broadcast(status_answers(cells, responses)), ["operation", "code"], "left")
-    reads = ch.where("kind LIKE 'response%' OR (kind = 'media_type_removed' AND status IS NOT NULL)").withColumnRenamed("status", "wanted").join(got, "operation")
-    reads = reads.where((F.col("wanted") == F.col("code").cast("string")) | (F.col("wanted") == F.col("answer")))
-    reads = reads.groupBy("id", "client").agg(F.sum("count").alias("count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
-    parts.append(val(reads, "POTENTIAL"))
-    other = ch.where(f"(kind LIKE 'request_field%' AND NOT {observable}) OR (kind = 'request_type_changed' AND NOT {observable}) OR (kind = 'media_type_removed' AND status IS NULL)")
-    parts.append(val(other.join(calls, "operation"), "POTENTIAL"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(id, client, requests, first_ts, last_ts, evidence) by the rules of each kind of change.
+
+    Rules say of a cell what it adds, what it takes away and whether it is of a type that is refused; one join with the
+    cells of operations that change and one aggregation count them all.
+    """
+    rules = F.broadcast(_rules(changes, cells, responses))
+    x = cells.where(F.col("kind").isin(COUNTED)).join(rules, "operation")
+    cell = lambda k: F.col("kind") == k
+    rule = lambda *r: F.col("rule").isin(*r)
+    place = (F.col("part") == F.col("c_part")) & (F.col("field") == F.col("c_field"))
+    code = F.col("status").cast("string")
+    group = F.concat(F.substring(code, 1, 1), F.lit("XX"))
+    answer = F.coalesce(*[F.when(F.array_contains("answers", a), a) for a in (code, group, F.lower(group), F.lit("default"))])
+    adds = (
+        (rule("call", "call without field", "call without body") & cell("CALL")) | (rule("field", "type") & cell("FIELD") & place)
+        | (rule("parent") & cell("FIELD") & (F.col("part") == F.col("c_part")) & (F.col("field") == F.col("parent"))) | (rule("value") & cell("VALUE") & place & F.array_contains("lost", F.col("detail")))
+        | (rule("body") & cell("REQUEST_BODY")) | (rule("status") & cell("STATUS") & ((F.col("wanted") == code) | F.coalesce(F.col("wanted") == answer, F.lit(False))))
+    )
+    takes = (rule("call without field", "parent") & cell("FIELD") & place) | (rule("call without body") & cell("REQUEST_BODY"))
+    taken = F.array_contains("to", F.col("detail")) | ((F.col("detail") == "integer") & F.array_contains("to", F.lit("number")))
+    refused = rule("type") & cell("TYPE") & place & ~taken
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    x = x.withColumns({"adds": yes(adds), "takes": yes(takes), "refused": yes(refused)}).where("adds OR takes OR refused")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("count"))), F.lit(0))
+    added = lambda c: F.when(F.col("adds"), F.col(c))
+    one = x.groupBy("id", "client", "rule", "evidence").agg(total("adds").alias("adds"), total("takes").alias("takes"), total("refused").alias("refused"), F.min(added("first_ts")).alias("first_ts"), F.max(added("last_ts")).alias("last_ts"))
+    requests = F.when(F.col("rule") == "type", F.least("adds", "refused")).otherwise(F.col("adds") - F.col("takes"))
+    return one.select("id", "client", requests.alias("requests"), "first_ts", "last_ts", "evidence").where("requests > 0")
 
 
 def expected_evidence():
@@ -83,10 +93,11 @@ def impact(cells: DataFrame, changes: DataFrame, responses: DataFrame, config: C
     """One row for each breaking change with exposure, severity and ranks."""
     config = config or Config()
     h = hits(cells, changes, responses)
-    end = fold(cells, "EVENT", "kind").select(F.col("last_ts").alias("end"))
-    active = active_clients(cells, config.recent_days).agg(F.count("*").alias("active"))
-    one = end.crossJoin(active)  # one row
-    h = h.crossJoin(F.broadcast(one))
+    last = fold(cells, "EVENT", "client")
+    end = last.agg(F.max("last_ts").alias("end"))
+    recent = F.col("last_ts") >= F.col("end") - F.make_dt_interval(secs=F.lit(float(round(config.recent_days * 86400))))
+    one = last.crossJoin(F.broadcast(end)).agg(F.max("end").alias("end"), F.count_if(recent & (F.col("client") != "")).alias("active"))  # one row
+    h = h.crossJoin(F.broadcast(one.select("end")))
     since = lambda days: F.col("last_ts") >= F.col("end") - F.make_dt_interval(secs=F.lit(float(round(days * 86400))))
     known = F.col("client") != ""
     e = h.groupBy("id").agg(
@@ -94,7 +105,7 @@ def impact(cells: DataFrame, changes: DataFrame, responses: DataFrame, config: C
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max("evidence").alias("evidence"),
         F.coalesce(F.bool_or(F.col("client").isin(list(config.critical_clients)) & since(config.stale_days)), F.lit(False)).alias("critical"),
     )
-    rows = changes.where("breaking").join(e, "id", "left").crossJoin(F.broadcast(active))
+    rows = changes.where("breaking").join(e, "id", "left").crossJoin(F.broadcast(one.select("active")))
     zero = ["requests", "clients", "recent", "stale"]
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {"critical": F.coalesce("critical", F.lit(False)), "evidence": F.coalesce("evidence", expected_evidence())})
     rows = rows.withColumn("severity", C.severity(F.col("clients"), F.col("recent"), F.col("stale"), F.col("active"), F.col("critical"), config) if config.identity else F.lit("UNRATED"))
