@@ -22,9 +22,9 @@ def ship(spark: SparkSession) -> None:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="tidemark"), "tidemark_llm.zip")
     with zipfile.ZipFile(path, "w") as z:
-        z.write(PACKAGE / "__init__.py", "tidemark/__init__.py")
-        for f in sorted((PACKAGE / "llm").glob("*.py")):
-            z.write(f, f"tidemark/llm/{f.name}")
+        # All of it: a second archive of the package would hide what the first one lacks.
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f"tidemark/{f.relative_to(PACKAGE)}")
     sc.addPyFile(path)
     sc._tidemark_shipped = True
     # Rows can be long texts, so that few of them make a batch.
@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one where none is set and all run on one machine, as in tests."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="tidemark-shared")
     if sc.getCheckpointDir() is None:
