@@ -11,6 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..sources.openapi import Spec, child_path, graph, json_media
 
 #: Levels below the root, paths of a body, values of a field.
@@ -122,6 +123,7 @@ def with_shape(df: DataFrame, body: str, out: str, spec: Spec | None = None, ope
     `code`, the first MOST_VALUES values are kept.  The first `most` paths stay; what lies deeper
     than `depth` is left out; either sets truncated.
     """
+    shared.ship(df.sparkSession)
     bodies = Bodies(spec) if spec else None
 
     def run(text, op, status):

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Fixed values of the format: methods of a path, JSON types.
 METHODS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
 TYPES = ["string", "integer", "number", "boolean", "null", "object", "array"]
@@ -290,6 +292,7 @@ def graph(spec: Spec) -> dict[str, list[dict]]:
 
 def graphs(documents: DataFrame, key: str = "spec", text: str = "text") -> DataFrame:
     """One row for each document: key, its graph, or the error that makes it none.  A document is read where its row is."""
+    shared.ship(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, {GRAPH}, error string"
 
@@ -311,6 +314,7 @@ def graphs(documents: DataFrame, key: str = "spec", text: str = "text") -> DataF
 
 def declarations(documents: DataFrame, key: str = "spec", text: str = "text") -> DataFrame:
     """Declared fields of many documents: key and the columns of DECLARED; documents that cannot be read have none."""
+    shared.ship(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -337,6 +341,7 @@ def operations_of(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def specifications(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document under a path: file, operations, unsupported, error."""
+    shared.ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):

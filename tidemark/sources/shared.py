@@ -1,10 +1,28 @@
-"""Tables between steps, in the folder that driver and executors share."""
+"""What driver and executors share: this package, and tables between steps."""
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package: they need not see the driver's folders."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_package", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark"), "tidemark_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f"tidemark/{f.relative_to(PACKAGE)}")
+    sc.addPyFile(path)
+    sc._tidemark_package = True
+
 
 def folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where that is unset, as in tests on one machine, a temporary folder."""
