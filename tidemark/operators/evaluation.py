@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .statistics import kendall_tau
 
 #: Lower bounds of the strata of presence.
 STRATA = [0.5, 0.1, 0.01, 0.0]
@@ -24,12 +25,8 @@ def random_rankings(rows: DataFrame, shuffles: int, seed: int = 0) -> DataFrame:
 
 
 def rank_correlation(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """Kendall's tau-b of each ranking with truth (id, truth); pairs within a ranking of some hundred rows."""
-    rows = scores.join(F.broadcast(truth), "id")
-    a, b = (rows.select("ranking", *[F.col(c).alias(f"{c}{k}") for c in ("id", "score", "truth")]) for k in "12")
-    x, y = F.signum(F.col("score1") - F.col("score2")), F.signum(F.col("truth1") - F.col("truth2"))
-    sums = a.join(b, "ranking").where("id1 < id2").groupBy("ranking").agg(F.sum(x * y).alias("c"), F.sum(x * x).alias("nx"), F.sum(y * y).alias("ny"))
-    return sums.select("ranking", F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("c") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+    """Kendall's tau-b of each ranking with truth (id, truth)."""
+    return kendall_tau(scores.join(truth, "id"), "id", "score", "truth", "ranking")
 
 
 def top_five(scores: DataFrame, truth: DataFrame) -> DataFrame:

@@ -3,14 +3,73 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
 
-def kendall_tau(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """tau-b over all pairs; meant for rankings of some hundred rows."""
-    a = df.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = df.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    sx, sy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    s = a.join(b, F.col("k1") < F.col("k2")).agg(F.sum(sx * sy).alias("c"), F.sum(sx * sx).alias("nx"), F.sum(sy * sy).alias("ny"))
-    return s.select(F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("c") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+#: Distinct pairs of values that one task counts, and the most ranges of a score: beyond their product ranges grow.
+RANGE_ROWS, MOST_RANGES = 100_000, 512
+
+
+def inverted(x, y, w) -> int:
+    """Weight of pairs with smaller x and larger y, strictly: for each bit of the ranks of x, rows that first differ there."""
+    import numpy as np
+
+    x, y = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    total = 0
+    for bit in range(int(x.max(initial=0)).bit_length()):
+        high, one = x >> (bit + 1), (x >> bit) & 1
+        order = np.lexsort((one, y, high))  # at equal y the smaller side first: it counts as not larger
+        zeros = np.cumsum(np.where(one[order] == 0, w[order], 0))
+        ends = np.flatnonzero(np.diff(high[order], append=-1))
+        larger = zeros[ends][np.searchsorted(ends, np.arange(len(order)))] - zeros
+        total += int((larger * np.where(one[order] == 1, w[order], 0)).sum())
+    return total
+
+
+def _inverted(first: str, second: str):
+    def run(table):
+        import pyarrow as pa
+
+        x, y, w = (table.column(c).to_numpy() for c in (first, second, "w"))
+        return pa.table({"by": table.column("by")[:1], "n": pa.array([str(inverted(x, y, w))])})
+
+    return run
+
+
+def _ranges(rows: DataFrame, x: str, parts: int) -> DataFrame:
+    """rows with the range of x that each value lies in: even numbers between cuts, odd ones for values that are cuts themselves.
+
+    Values that many rows share are cuts, so that their ranges hold no two values and are not counted within.
+    """
+    cuts = rows.groupBy("by").agg(F.array_sort(F.array_distinct(F.percentile_approx(x, [k / parts for k in range(1, parts)] or [0.5], 10 * parts))).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda c: c < F.col(x)))
+    return rows.join(F.broadcast(cuts), "by").withColumn(f"{x}_range", (2 * at + F.array_contains("cuts", F.col(x)).cast("int"))).drop("cuts")
+
+
+def kendall_tau(df: DataFrame, key: str, x: str, y: str, by: str | None = None) -> DataFrame:
+    """tau-b of two scores, for each value of `by`, by counting inversions in ranges: no pairs are formed.
+
+    Equal pairs of values are counted together first.  Inversions between ranges of both scores come from the table of ranges,
+    those within a range of either from its own rows, of which there are about RANGE_ROWS.
+    Rows without a score are left out.  `key` names the rows and decides nothing.
+    """
+    shared.ship(df.sparkSession)
+    rows = df.select((F.col(by) if by else F.lit(0)).alias("by"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    rows = shared.stored(rows.groupBy("by", "x", "y").agg(F.count("*").alias("w")), "scores")
+    parts = min(MOST_RANGES, max(1, rows.count() // RANGE_ROWS))
+    rows = shared.stored(_ranges(_ranges(rows, "x", parts), "y", parts), "ranges")
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    ties = lambda name, *c: rows.groupBy("by", *c).agg(F.sum("w").alias("w")).groupBy("by").agg(F.sum(big("w") * (F.col("w") - 1)).alias(name))
+    kind = f"by {rows.schema['by'].dataType.simpleString()}, n string"
+    table = rows.groupBy("by", "x_range", "y_range").agg(F.sum("w").alias("w"))  # as many rows as ranges squared
+    inner = lambda c, first, second: rows.where(F.col(c) % 2 == 0).groupBy("by", c).applyInArrow(_inverted(first, second), kind)
+    found = table.groupBy("by").applyInArrow(_inverted("x_range", "y_range"), kind).unionByName(inner("x_range", "x", "y")).unionByName(inner("y_range", "x_range", "y"))
+    found = found.groupBy("by").agg(F.sum(big("n")).alias("d"))
+    out = ties("all").join(ties("tx", "x"), "by").join(ties("ty", "y"), "by").join(ties("txy", "x", "y"), "by").join(found, "by", "left")
+    d = F.coalesce(F.col("d"), F.lit(0).cast("decimal(38,0)"))
+    agree = ((F.col("all") - F.col("tx") - F.col("ty") + F.col("txy")) / 2 - 2 * d).cast("double")
+    nx, ny = ((F.col("all") - F.col(c)).cast("double") / 2 for c in ("tx", "ty"))
+    tau = F.when((nx > 0) & (ny > 0), agree / F.sqrt(nx) / F.sqrt(ny)).alias("tau")
+    return out.select(*([F.col("by").alias(by)] if by else []), tau)
 
 
 def summary(df: DataFrame, by: list[str], x: str) -> DataFrame:
