@@ -68,7 +68,7 @@ def kendall_tau(df: DataFrame, key: str, x: str, y: str, by: str | None = None)
     d = F.coalesce(F.col("d"), F.lit(0).cast("decimal(38,0)"))
     agree = ((F.col("all") - F.col("tx") - F.col("ty") + F.col("txy")) / 2 - 2 * d).cast("double")
     nx, ny = ((F.col("all") - F.col(c)).cast("double") / 2 for c in ("tx", "ty"))
-    tau = F.when((nx > 0) & (ny > 0), agree / F.sqrt(nx) / F.sqrt(ny)).alias("tau")
+    tau = F.when((nx > 0) & (ny > 0), agree / F.sqrt(nx * ny)).alias("tau")
     return out.select(*([F.col("by").alias(by)] if by else []), tau)
 
 
