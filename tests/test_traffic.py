@@ -187,6 +187,8 @@ def test_scans(spark):
     assert plan.count("Scan parquet") == 1 and "Join" not in plan
     plan = views.field_presence(bridge.cube(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and "Join" not in plan and "PartitionFilters: [kind" in plan
+    plan = views.top_callers(bridge.cube(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and ", Partial" in plan  # tasks keep their own first ones before rows move
     # Views read stored cells and never build them from events.
     for name in ("contract_fields", "drift_unused_fields", "client_timeline", "report_header", "impact_ranked", "latency_percentiles"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -79,11 +79,34 @@ def client_timeline(cells: DataFrame, most: int = 500) -> DataFrame:
     return per.join(by("day", "days"), "client", "left").join(by("operation", "operations"), "client", "left")
 
 
+def _top(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The clients with most of each group.  Tasks leave their own first `most` of a group before rows move (WindowGroupLimit), up to Spark's limit of 1,000."""
+    w = Window.partitionBy(*by).orderBy(F.desc("count"), "client")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(*by, "client", "count", "place")
+
+
 def top_callers(cells: DataFrame, most: int = 500) -> DataFrame:
     """The clients with most calls of each operation."""
-    calls = fold(cells, "CALL", "operation", "client").where("client <> ''")
-    w = Window.partitionBy("operation").orderBy(F.desc("count"), "client")
-    return calls.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("operation", "client", "count", "place")
+    return _top(fold(cells, "CALL", "operation", "client").where("client <> ''"), ["operation"], most)
+
+
+def top_senders(cells: DataFrame, most: int = 500) -> DataFrame:
+    """The clients that send each request field most often."""
+    by = ["operation", "part", "field"]
+    return _top(fold(cells.where("part LIKE 'request%' AND client <> ''"), "FIELD", *by, "client"), by, most)
+
+
+def contract(cells: DataFrame, declared: DataFrame, responses: DataFrame) -> DataFrame:
+    """One document for each operation that is declared or called: calls and callers, latency, statuses seen and whether they are documented, fields with their states.
+
+    An operation has as many statuses and fields as it declares and shows, some hundreds.
+    """
+    known = status_answers(cells, responses).select("operation", F.col("code").alias("status"), F.lit(True).alias("documented"))
+    seen = fold(cells, "STATUS", "operation", "status").select("operation", "status", "count").join(F.broadcast(known), ["operation", "status"], "left")
+    statuses = seen.groupBy("operation").agg(F.sort_array(F.collect_list(F.struct("status", "count", F.coalesce("documented", F.lit(False)).alias("documented")))).alias("statuses"))
+    fields = contract_fields(cells, declared, responses).groupBy("operation").agg(F.sort_array(F.collect_list(F.struct("part", "status", "field", "count", "state"))).alias("fields"))
+    rows = operations(cells).join(latency_percentiles(cells).withColumnRenamed("n", "timed"), "operation", "left").join(statuses, "operation", "left").join(fields, "operation", "full_outer")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("calls", "clients")})
 
 
 def dense_days(cells: DataFrame) -> DataFrame:

@@ -246,6 +246,11 @@ def top_callers(spark, sf_dir):
     return views.top_callers(bridge.cube(spark, sf_dir), 20)
 
 
+@query("SELECT op AS operation, part, field, who AS client, count(*) AS count, CAST(row_number() OVER (PARTITION BY op, part, field ORDER BY count(*) DESC, who) AS INTEGER) AS place FROM f WHERE part LIKE 'request%' AND who <> '' GROUP BY op, part, field, who QUALIFY place <= 10")
+def top_senders(spark, sf_dir):
+    return views.top_senders(bridge.cube(spark, sf_dir), 10)
+
+
 @query(", d AS (SELECT day, count(*) AS calls FROM m GROUP BY day) SELECT CAST(g.day AS DATE) AS day, coalesce(calls, 0) AS calls FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON d.day = CAST(g.day AS DATE)")
 def timeline_dense(spark, sf_dir):
     return views.dense_days(bridge.cube(spark, sf_dir))
@@ -272,6 +277,28 @@ def contract_fields(spark, sf_dir):
     return views.contract_fields(bridge.cube(spark, sf_dir), t["declared"], t["responses"])
 
 
+@query(
+    "," + SPEC + """, s AS (SELECT op, part, CAST(st AS VARCHAR) AS st, field, count(*) AS n FROM f WHERE field <> '$' GROUP BY ALL),
+w AS (SELECT operation, part, status, field FROM d WHERE part <> 'request.path' AND field <> '$'
+  UNION SELECT d.operation, part, code, field FROM d JOIN ans ON ans.operation = d.operation AND ans.answer = d.status WHERE part = 'response.body' AND field <> '$'),
+fs AS (
+  SELECT coalesce(w.operation, s.op) AS operation, string_agg(coalesce(w.part, s.part) || ' ' || coalesce(w.status, s.st) || ' ' || coalesce(w.field, s.field) || ' ' || coalesce(n, 0) || ' '
+    || CASE WHEN w.field IS NULL THEN 'undocumented' WHEN n IS NULL THEN 'never_seen' ELSE 'documented_and_used' END, ',' ORDER BY coalesce(w.part, s.part), coalesce(w.status, s.st), coalesce(w.field, s.field)) AS fields
+  FROM w FULL JOIN s ON w.operation = s.op AND w.part = s.part AND w.status = s.st AND w.field = s.field GROUP BY 1),
+st AS (
+  SELECT op, string_agg(status || ' ' || n || ' ' || EXISTS (SELECT 1 FROM r WHERE r.operation = op AND (r.answer = CAST(status AS VARCHAR) OR r.answer = 'default' OR r.answer = substr(CAST(status AS VARCHAR), 1, 1) || 'XX')), ',' ORDER BY status) AS statuses
+  FROM (SELECT op, status, count(*) AS n FROM m GROUP BY ALL) GROUP BY op),
+c AS (SELECT op, count(*) AS calls, count(DISTINCT CASE WHEN client <> '' THEN client END) AS clients FROM m GROUP BY op)
+SELECT fs.operation, coalesce(calls, 0) AS calls, coalesce(clients, 0) AS clients, statuses, fields FROM fs LEFT JOIN st ON st.op = fs.operation LEFT JOIN c ON c.op = fs.operation"""
+)
+def contract_document(spark, sf_dir):
+    """The contract of each operation as one row; its latency has a query of its own."""
+    t = bridge.spec_tables(spark)
+    rows = views.contract(bridge.cube(spark, sf_dir), t["declared"], t["responses"])
+    text = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[n].cast("string") for n in names])), ",").alias(c)
+    return rows.select("operation", "calls", "clients", text("statuses", "status", "count", "documented"), text("fields", "part", "status", "field", "count", "state"))
+
+
 def _drift(of, spark, sf_dir, *more):
     t = bridge.spec_tables(spark)
     return of(bridge.cube(spark, sf_dir), t["declared"], t["responses"], *more)
