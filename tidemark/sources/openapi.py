@@ -70,10 +70,14 @@ class Operation:
         return f"{self.method} {self.path}"
 
 
+class NotOpenApi(ValueError):
+    """A document that is read but is no OpenAPI 3."""
+
+
 class Spec:
     def __init__(self, doc: dict):
         if not isinstance(doc, dict) or not str(doc.get("openapi", "")).startswith("3."):
-            raise ValueError("not an OpenAPI 3 document")
+            raise NotOpenApi("not an OpenAPI 3 document")
         self.doc, self.unsupported, self._views = doc, [], {}
 
     def resolve(self, node, seen=()):
@@ -100,7 +104,7 @@ class Spec:
         if id(node) in open_:
             return View(source=name)  # a cycle through allOf: nothing more from here
         if id(node) in self._views:
-            return self._views[id(node)]
+            return self._views[id(node)][1]
         if not isinstance(node, dict):
             return View(source=name)
         open_ = (*open_, id(node))
@@ -136,7 +140,7 @@ class Spec:
             if out.enum is None and all(v.enum is not None for v in variants):
                 out.enum = tuple(dict.fromkeys(x for v in variants for x in v.enum))
         if len(open_) == 1:
-            self._views[id(node)] = out
+            self._views[id(node)] = node, out  # the node stays alive, so that no other one gets its number
         return out
 
     def operations(self) -> list[Operation]:
@@ -340,7 +344,7 @@ def operations_of(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def specifications(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document under a path: file, operations, unsupported, error."""
+    """One row for each document under a path: file, numbers of operations, fields and unsupported constructs, category (parsed, not OpenAPI 3, unreadable), error."""
     shared.ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -353,9 +357,9 @@ def specifications(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     s = Spec(load(bytes(c).decode()))
                     n, declared = len(s.operations()), len(s.declared())
-                    rows.append((p, n, declared, len(s.unsupported), None))
+                    rows.append((p, n, declared, len(s.unsupported), "parsed", None))
                 except Exception as e:  # one bad document is a row, not the end of a survey
-                    rows.append((p, 0, 0, 0, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=["file", "operations", "fields", "unsupported", "error"])
+                    rows.append((p, 0, 0, 0, "not OpenAPI 3" if isinstance(e, NotOpenApi) else "unreadable", f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["file", "operations", "fields", "unsupported", "category", "error"])
 
-    return files.mapInPandas(run, "file string, operations long, fields long, unsupported long, error string")
+    return files.mapInPandas(run, "file string, operations long, fields long, unsupported long, category string, error string")
