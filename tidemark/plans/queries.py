@@ -1,12 +1,13 @@
 """Queries over the driver's tables, one or more for each family of operators, and their SQL."""
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cells, diff, drift, evaluation, explorer, impact, report, routes, sanitise, shapes, statistics, views
-from ..sources import openapi
+from ..sources import archive, openapi, shared
 from ..sources import traffic as T
 from . import bridge, contracts
 
@@ -604,6 +605,15 @@ def har_cells(spark, sf_dir):
     return _plain(cells.build_cells(routes.resolve(found, bridge.known_routes(spark))))
 
 
+@query("SELECT ts, method, status, latency AS latency_ms, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL")
+def har_ranges(spark, sf_dir):
+    """The same archives written to files and read by ranges of bytes that cut them anywhere."""
+    path = f"{shared.folder(spark)}/archives-{uuid.uuid4().hex}"
+    bridge.archives(spark, sf_dir).write.text(path)
+    found = archive.read_har(spark, path, chunk=1 << 20).where("NOT skipped")
+    return _plain(found.groupBy("ts", F.upper("method").alias("method"), "status", "latency_ms").agg(F.count("*").alias("n")))
+
+
 @query(
     _RANKED + """, n AS (SELECT op, count(*) AS n FROM m GROUP BY op)
 SELECT id, kind, coalesce(n, 0) AS events_in_scope, round(CASE WHEN n > 0 THEN 1 - pow(0.05, 1.0 / n) END, 6) AS unseen_rate_upper_95, CASE WHEN n >= 100 THEN 'high' ELSE 'low' END AS tier FROM ch LEFT JOIN n ON op = operation"""

@@ -63,9 +63,9 @@ def to_lines(events: DataFrame) -> DataFrame:
     return events.withColumn("value", F.to_json(F.struct(F.lit(1).alias("v"), ts.alias("ts"), "method", "operation", "path", "status", "latency_ms", "client", request.alias("request"), response.alias("response"))))
 
 
-HAR = (
-    "log struct<entries:array<struct<startedDateTime:string,time:double,request:struct<method:string,url:string,headers:array<struct<name:string,value:string>>,postData:struct<mimeType:string,text:string>>,"
-    "response:struct<status:int,content:struct<mimeType:string,text:string,encoding:string>>>>>"
+ENTRY = (
+    "startedDateTime:string,time:double,request:struct<method:string,url:string,headers:array<struct<name:string,value:string>>,postData:struct<mimeType:string,text:string>>,"
+    "response:struct<status:int,content:struct<mimeType:string,text:string,encoding:string>>"
 )
 
 
@@ -74,8 +74,12 @@ def har_entries(archives: DataFrame, column: str = "value", strict: bool = False
 
     strict: a status outside 100 to 599 is skipped as well, as in a browser's captures.
     """
-    e = F.explode(F.from_json(column, f"struct<{HAR.replace('log ', 'log:', 1)}>")["log"]["entries"]).alias("e")
-    rows = archives.select(e)
+    e = F.explode(F.from_json(column, f"struct<log:struct<entries:array<struct<{ENTRY}>>>>")["log"]["entries"]).alias("e")
+    return exchanges(archives.select(e), strict)
+
+
+def exchanges(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """The columns of har_entries() from parsed entries `e`."""
     text = F.col("e.response.content.text")
     body = F.when(F.col("e.response.content.encoding") == "base64", F.try_to_binary(text, F.lit("base64")).cast("string")).otherwise(text)
     ts = F.try_to_timestamp(F.col("e.startedDateTime"))
