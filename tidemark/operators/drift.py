@@ -58,13 +58,18 @@ def type_mismatches(cells: DataFrame, declared: DataFrame, responses: DataFrame)
 def unused_fields(cells: DataFrame, declared: DataFrame, responses: DataFrame, least: int = 300) -> DataFrame:
     """Declared query parameters and children of objects, seen that often without them."""
     presence = field_presence(cells).select("operation", "part", F.col("status").cast("string").alias("status"), "field")
+    return could_be_unused(cells, declared, responses, least).join(presence, KEYS, "left_anti").select(*KEYS, "of", C.unseen_bound(F.col("of")).alias("bound"))
+
+
+def could_be_unused(cells: DataFrame, declared: DataFrame, responses: DataFrame, least: int = 300) -> DataFrame:
+    """Declared query parameters and children of objects whose operation or object was seen that often, with them or without."""
     objects = placed(field_types(cells).where("type = 'object'"), cells, declared, responses).where((F.col("count") >= least) & F.col("at").isNotNull())
     objects = objects.select("operation", "part", "status", "answer", F.col("field").alias("parent"), "at", F.col("count").alias("of"))
     children = declared.select("operation", "part", F.col("status").alias("answer"), C.parent_path(F.col("field")).alias("at"), F.try_element_at(C.path_tokens(F.col("field")), F.lit(-1)).alias("name")).where("name <> '[]' AND name <> '.*'")
     inner = objects.join(F.broadcast(children), ["operation", "part", "answer", "at"]).select("operation", "part", "status", F.concat("parent", "name").alias("field"), "of")
     calls = fold(cells, "CALL", "operation").where(F.col("count") >= least).select("operation", F.col("count").alias("of"))
     query = calls.join(F.broadcast(declared.where("part = 'request.query'").select(*KEYS)), "operation").select(*KEYS, "of")
-    return inner.unionByName(query).join(presence, KEYS, "left_anti").select(*KEYS, "of", C.unseen_bound(F.col("of")).alias("bound"))
+    return inner.unionByName(query)
 
 
 def undocumented_statuses(cells: DataFrame, responses: DataFrame) -> DataFrame:

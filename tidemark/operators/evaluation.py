@@ -1,4 +1,4 @@
-"""Scores of rankings and findings against the truth: comparators, rank correlation, top five, client sets, recall by strata."""
+"""Scores of rankings and findings against the truth: comparators, rank correlation, top five, client sets and shares, severities, recall by strata, types, bounds."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,24 @@ def severity_matrix(said: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("id", F.col("severity").alias("truth")).join(said.select("id", F.col("severity").alias("said")), "id").groupBy("truth", "said").count()
 
 
+def severity_agreement(matrix: DataFrame) -> DataFrame:
+    """Share of the rows of a severity_matrix() that lie on its diagonal."""
+    return matrix.agg(F.sum("count").alias("rows"), (F.sum(F.when(F.col("truth") == F.col("said"), F.col("count")).otherwise(0)) / F.sum("count")).alias("agreement"))
+
+
+def share_error(found: DataFrame, seen: DataFrame, truth: DataFrame, population: DataFrame, key: str) -> DataFrame:
+    """How far the share of clients found for a key is from the true share, over the keys of truth: rows, mean and 90th percentile.
+
+    found and truth: (key, client); seen and population: clients that both sides know at all.  A key that is not found counts as found for none.
+    """
+    n = lambda df, name: df.groupBy(key).agg(F.count_distinct("client").alias(name))
+    all_of = lambda df, name: F.broadcast(df.agg(F.count_distinct("client").alias(name)))
+    rows = n(truth, "t").join(n(found, "f"), key, "left").crossJoin(all_of(seen, "s")).crossJoin(all_of(population, "p"))  # one row each
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.coalesce(part, F.lit(0)) / F.col(whole)).otherwise(0.0)
+    error = rows.select(F.abs(share("f", "s") - share("t", "p")).alias("error"))
+    return error.agg(F.count("*").alias("rows"), F.avg("error").alias("mean"), F.percentile("error", 0.9).alias("p90"))
+
+
 def field_recall(sample: DataFrame, truth: DataFrame) -> DataFrame:
     """By stratum of true presence: fields, those that the sample shows, and how many 1 - (1 - p) ** n predicts.
 
@@ -64,6 +82,35 @@ def field_recall(sample: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("fields"), F.count("seen").alias("found"), F.sum(predicted).alias("predicted"))
 
 
+def type_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Fields found and true, how many are both, and for how many of these both show the same set of types; (operation, part, status, field, type) rows."""
+    keys = ["operation", "part", "status", "field"]
+    sets = lambda df, name: df.groupBy(*keys).agg(F.sort_array(F.collect_set("type")).alias(name))
+    both = sets(found, "f").join(sets(truth, "t"), keys, "full_outer")
+    n = both.agg(F.count("f").alias("found"), F.count("t").alias("true"), F.count_if(F.col("f").isNotNull() & F.col("t").isNotNull()).alias("both"), F.count_if(F.col("f") == F.col("t")).alias("same_types"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return n.select("*", share("both", "found").alias("precision"), share("both", "true").alias("recall"), share("same_types", "both").alias("type_accuracy"))
+
+
+def bound_calibration(could: DataFrame, said: DataFrame, truth: DataFrame) -> DataFrame:
+    """How the bounds of fields that were called unused hold against how often these really come, given their parent.
+
+    could: body fields that could be called unused (drift.could_be_unused); said: those that were, with their bound; truth: field_presence rows.
+    wrong counts fields that come more often than their bound; its rate is of all `could` that come at all, and promised to be at most 0.05.
+    """
+    keys = ["operation", "part", "status", "field"]
+    rate = truth.withColumn("status", F.col("status").cast("string")).select(*keys, F.col("presence").alias("own"))
+    parent = rate.withColumnsRenamed({"field": "up", "own": "parent"})
+    rows = could.where("part <> 'request.query'").select(*keys, C.parent_path(F.col("field")).alias("up")).join(said.select(*keys, "bound"), keys, "left")
+    rows = rows.join(rate, keys, "left").join(parent, [*keys[:3], "up"], "left")
+    rows = rows.withColumn("share", F.when(F.col("parent") > 0, F.least(F.lit(1.0), F.coalesce("own", F.lit(0.0)) / F.col("parent"))).otherwise(0.0))  # least() passes over nulls
+    held, comes, told = F.col("share") <= F.col("bound"), F.col("share") > 0, F.col("bound").isNotNull()
+    n = rows.agg(F.count_if(told).alias("statements"), F.count_if(held).alias("covered"), F.count_if(told & comes).alias("occurring"), F.count_if(held & comes).alias("covered_occurring"), F.count_if(comes).alias("eligible"))
+    wrong = F.col("occurring") - F.col("covered_occurring")
+    share = lambda a, b: F.when(F.col(b) > 0, a / F.col(b))
+    return n.select("*", wrong.alias("wrong"), share(F.col("covered"), "statements").alias("coverage"), share(F.col("covered_occurring"), "occurring").alias("coverage_occurring"), share(wrong, "eligible").alias("wrong_rate"))
+
+
 def drift_counts(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """(true positives, false negatives, false positives) of findings by key."""
     both = found.select(*keys, F.lit(1).alias("f")).distinct().join(truth.select(*keys, F.lit(1).alias("t")).distinct(), keys, "full_outer")

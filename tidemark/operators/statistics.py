@@ -1,6 +1,6 @@
 """Statistics of the evaluation: rank correlation, quantiles, agreement, confusion, line differences."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import shared
@@ -83,6 +83,17 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.agg(both.alias("both"), only_a.alias("only_a"), only_b.alias("only_b")).select("*", (F.col("both") / (F.col("both") + F.col("only_a"))).alias("precision"), (F.col("both") / (F.col("both") + F.col("only_b"))).alias("recall"), (F.col("both") / (F.col("both") + F.col("only_a") + F.col("only_b"))).alias("jaccard"))
 
 
+def agreement_classes(a: DataFrame, b: DataFrame, keys: list[str], by: str, most: int = 5) -> DataFrame:
+    """For each value of `by`, one of the keys: how many keys both sides hold, or only one, with the first few of them as examples."""
+    both = a.select(*keys, F.lit(1).alias("a")).distinct().join(b.select(*keys, F.lit(1).alias("b")).distinct(), keys, "full_outer")
+    rows = both.withColumn("verdict", F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("both"))
+    others = [k for k in keys if k != by]
+    # Tasks leave their own first few before rows move.
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(by, "verdict").orderBy(*others))).where(F.col("place") <= most)
+    examples = first.groupBy(by, "verdict").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.concat_ws(" ", *others).alias("x")))), lambda e: e["x"]).alias("examples"))
+    return rows.groupBy(by, "verdict").agg(F.count("*").alias("n")).join(examples, [by, "verdict"])
+
+
 def confusion(df: DataFrame, truth, said) -> DataFrame:
     c = df.agg(F.count_if(truth & said).alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"), F.count_if(~truth & ~said).alias("tn"))
     return c.select("*", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"))

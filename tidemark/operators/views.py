@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import shared
 from .cells import fold
 
 
@@ -117,12 +118,23 @@ def dense_days(cells: DataFrame) -> DataFrame:
 
 
 def matrix(cells: DataFrame, fields: list[tuple[str, str, str]]) -> DataFrame:
-    """For each client a string of bits, which of the (operation, part, field) it sent, and its place: signatures that are larger come first."""
+    """For each client a string of bits, which of the (operation, part, field) it sent, and its place: signatures that are larger come first, then clients by name."""
     wanted = cells.sparkSession.createDataFrame([(i, *f) for i, f in enumerate(fields)], "at int, operation string, part string, field string")
     sent = fold(cells.where("part LIKE 'request%' AND client <> ''"), "FIELD", "operation", "part", "field", "client").join(F.broadcast(wanted), ["operation", "part", "field"])
     at = sent.groupBy("client").agg(F.collect_set("at").alias("at"))
     bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(len(fields) - 1)), lambda i: F.when(F.array_contains("at", i), "1").otherwise("0")), "")
-    return at.select("client", bits.alias("bits"))
+    return placed(at.select("client", bits.alias("bits")), F.desc("bits"), F.col("client"))
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """rows with their place from 1 in an order of all: sorted by ranges, counted in each, so that no task holds all."""
+    # An id is the range's number and, in the lower 33 bits, the row's within it; ids are written once, as ranges are drawn by sampling.
+    ids = shared.stored(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("_id", 33)
+    sizes = ids.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    return ids.join(F.broadcast(starts), part == F.col("_part")).withColumn("place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).select(*rows.columns, "place")
 
 
 def matrix_operations(cells: DataFrame, changes: DataFrame) -> DataFrame:

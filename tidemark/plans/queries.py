@@ -426,7 +426,7 @@ def blast_radius(spark, sf_dir):
 _MATRIX = [("GET /items/{id}", "request.query", "$.limit"), ("GET /items/{id}", "request.query", "$.sort"), ("POST /orders", "request.body", "$.note"), ("POST /orders", "request.body", "$.email")]
 
 
-@query("SELECT who AS client, " + " || ".join(f"CASE WHEN bool_or(op = '{o}' AND part = '{p}' AND field = '{x}') THEN '1' ELSE '0' END" for o, p, x in _MATRIX) + " AS bits FROM f WHERE who <> '' GROUP BY who HAVING contains(bits, '1')")
+@query("SELECT who AS client, " + " || ".join(f"CASE WHEN bool_or(op = '{o}' AND part = '{p}' AND field = '{x}') THEN '1' ELSE '0' END" for o, p, x in _MATRIX) + " AS bits, row_number() OVER (ORDER BY bits DESC, who) AS place FROM f WHERE who <> '' GROUP BY who HAVING contains(bits, '1')")
 def client_field_matrix(spark, sf_dir):
     return views.matrix(bridge.cube(spark, sf_dir), _MATRIX)
 
@@ -567,6 +567,84 @@ def field_recall(spark, sf_dir):
     return found.withColumn("predicted", F.round("predicted", 4))
 
 
+@query(
+    ", n AS (SELECT op, count(DISTINCT client) AS t, count(DISTINCT client) FILTER (day < DATE '2024-01-05') AS f FROM m WHERE client <> '' GROUP BY op), c AS (SELECT count(DISTINCT client) AS p, count(DISTINCT client) FILTER (day < DATE '2024-01-05') AS s FROM t WHERE client <> ''), e AS (SELECT abs(f / s - t / p) AS error FROM n, c) SELECT count(*) AS rows, round(avg(error), 6) AS mean, round(quantile_cont(error, 0.9), 6) AS p90 FROM e"
+)
+def share_error(spark, sf_dir):
+    """The share of clients that the first days show for an operation against the share of all."""
+    cube = bridge.cube(spark, sf_dir)
+    calls, known = cells.fold(cube, "CALL", "operation", "client", "day").where("client <> ''"), cells.fold(cube, "EVENT", "client", "day").where("client <> ''")
+    early = "day < DATE'2024-01-05'"
+    return evaluation.share_error(calls.where(early), known.where(early), calls, known, "operation").withColumns({c: F.round(c, 6) for c in ("mean", "p90")})
+
+
+_EARLY = BASE.replace("FROM t0)", "FROM t0 WHERE CAST(ts AS DATE) < DATE '2024-01-16')")
+
+
+@query(f"SELECT truth, said, count(*) AS count FROM ({BASE}{_RANKED} SELECT id, severity AS truth FROM named) a JOIN ({_EARLY}{_RANKED} SELECT id, severity AS said FROM named) b USING (id) GROUP BY ALL", base=False)
+def severity_confusion(spark, sf_dir):
+    """Severities as half a month of traffic gives them against those of all."""
+    early = bridge.cube(spark, sf_dir).where("day < DATE'2024-01-16'")
+    said = impact.impact(early, bridge.changes(spark), bridge.spec_tables(spark)["responses"], bridge.CONFIG)
+    return evaluation.severity_matrix(said, _impact(spark, sf_dir))
+
+
+@query(
+    """, s AS (SELECT op, part, st, field, string_agg(DISTINCT type, '|' ORDER BY type) AS types FROM f WHERE day < DATE '2024-01-02' GROUP BY ALL), a AS (SELECT op, part, st, field, string_agg(DISTINCT type, '|' ORDER BY type) AS types FROM f WHERE day >= DATE '2024-01-02' GROUP BY ALL),
+n AS (SELECT count(s.types) AS found, count(a.types) AS "true", count(*) FILTER (s.types IS NOT NULL AND a.types IS NOT NULL) AS "both", count(*) FILTER (s.types = a.types) AS same_types FROM s FULL JOIN a USING (op, part, st, field))
+SELECT *, round("both" / found, 6) AS precision, round("both" / "true", 6) AS recall, round(same_types / "both", 6) AS type_accuracy FROM n"""
+)
+def type_quality(spark, sf_dir):
+    """Fields and types of the first day against those of the days after it."""
+    types = bridge.cube(spark, sf_dir).where("kind = 'TYPE'").select("operation", "part", "status", "field", F.col("detail").alias("type"), "day")
+    found = evaluation.type_quality(types.where("day < DATE'2024-01-02'"), types.where("day >= DATE'2024-01-02'"))
+    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "type_accuracy")})
+
+
+@query(
+    "," + SPEC + PLACED + """, o AS (SELECT op, part, CAST(st AS VARCHAR) AS st, answer, count(*) AS n FROM placed WHERE type = 'object' AND field = '$' AND day < DATE '2024-01-03' GROUP BY ALL HAVING count(*) >= 5),
+c AS (SELECT d.operation, d.part, o.st, d.field, o.n FROM d JOIN o ON d.operation = o.op AND d.part = o.part AND d.status = o.answer WHERE d.field <> '$' AND d.field <> '$.tags.*'),
+p AS (SELECT op, part, CAST(st AS VARCHAR) AS st, field, count(*) AS n, count(*) FILTER (day < DATE '2024-01-03') AS n0 FROM f GROUP BY ALL),
+q AS (SELECT CASE WHEN r.n > 0 THEN least(1.0, coalesce(x.n, 0) / r.n) ELSE 0.0 END AS share, CASE WHEN coalesce(x.n0, 0) = 0 THEN 1 - pow(0.05, 1.0 / c.n) END AS bound FROM c LEFT JOIN p x ON x.op = c.operation AND x.part = c.part AND x.st = c.st AND x.field = c.field LEFT JOIN p r ON r.op = c.operation AND r.part = c.part AND r.st = c.st AND r.field = '$'),
+n AS (SELECT count(bound) AS statements, count(*) FILTER (share <= bound) AS covered, count(*) FILTER (bound IS NOT NULL AND share > 0) AS occurring, count(*) FILTER (share <= bound AND share > 0) AS covered_occurring, count(*) FILTER (share > 0) AS eligible FROM q)
+SELECT *, occurring - covered_occurring AS wrong, round(covered / nullif(statements, 0), 6) AS coverage, round(covered_occurring / nullif(occurring, 0), 6) AS coverage_occurring, round((occurring - covered_occurring) / nullif(eligible, 0), 6) AS wrong_rate FROM n"""
+)
+def bound_calibration(spark, sf_dir):
+    """Fields that two days of traffic let appear unused, and how often they come in all of it."""
+    cube = bridge.cube(spark, sf_dir)
+    t, early = bridge.spec_tables(spark), cube.where("day < DATE'2024-01-03'")
+    of = [f(early, t["declared"], t["responses"], 5) for f in (drift.could_be_unused, drift.unused_fields)]
+    found = evaluation.bound_calibration(*of, views.field_presence(cube))
+    return found.withColumns({c: F.round(c, 6) for c in ("coverage", "coverage_occurring", "wrong_rate")})
+
+
+@query(
+    "," + SPEC + PLACED + """, u AS (SELECT 'undocumented_field' AS kind, op, part, st, field, day FROM placed p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.operation = op AND d.part = p.part AND d.status = p.answer AND d.field = p.at)
+  UNION ALL SELECT 'type_mismatch', op, p.part, st, p.field, day FROM placed p JOIN d ON d.operation = op AND d.part = p.part AND d.status = p.answer AND d.field = p.at WHERE p.part <> 'request.query' AND type <> d.types AND NOT (type = 'integer' AND d.types = 'number')),
+z AS (SELECT kind, bool_or(day < DATE '2024-01-02') AS found, bool_or(day >= DATE '2024-01-02') AS "true" FROM u GROUP BY kind, op, part, st, field)
+SELECT kind, count(*) FILTER (found AND "true") AS tp, count(*) FILTER (NOT found) AS fn, count(*) FILTER (NOT "true") AS fp FROM z GROUP BY kind"""
+)
+def drift_scores(spark, sf_dir):
+    """Findings of the first day's traffic against those of the days after it."""
+    cube, t = bridge.cube(spark, sf_dir), bridge.spec_tables(spark)
+    days = [cube.where("day < DATE'2024-01-02'"), cube.where("day >= DATE'2024-01-02'")]
+    score = lambda kind, of: evaluation.drift_counts(*[of(c, t["declared"], t["responses"]) for c in days], drift.KEYS).select(F.lit(kind).alias("kind"), "tp", "fn", "fp")
+    return score("undocumented_field", drift.undocumented_fields).union(score("type_mismatch", drift.type_mismatches))
+
+
+@query(
+    """, a AS (SELECT DISTINCT op, client FROM m WHERE day < DATE '2024-01-10'), b AS (SELECT DISTINCT op, client FROM m WHERE day >= DATE '2024-01-10'),
+j AS (SELECT coalesce(a.op, b.op) AS operation, coalesce(a.client, b.client) AS client, CASE WHEN a.op IS NULL THEN 'only_b' WHEN b.op IS NULL THEN 'only_a' ELSE 'both' END AS verdict FROM a FULL JOIN b ON a.op = b.op AND a.client = b.client),
+p AS (SELECT *, row_number() OVER (PARTITION BY operation, verdict ORDER BY client) AS place FROM j)
+SELECT operation, verdict, count(*) AS n, string_agg(client, ',' ORDER BY client) FILTER (place <= 5) AS examples FROM p GROUP BY operation, verdict"""
+)
+def agreement_classes(spark, sf_dir):
+    """Callers of each operation before and after a day, with examples."""
+    c = cells.fold(bridge.cube(spark, sf_dir), "CALL", "operation", "client", "day")
+    out = statistics.agreement_classes(c.where("day < DATE'2024-01-10'"), c.where("day >= DATE'2024-01-10'"), ["operation", "client"], "operation")
+    return out.withColumn("examples", F.array_join("examples", ","))
+
+
 @query(
     """, s AS (SELECT client, op AS operation, 'call' AS what, '' AS field, '' AS value FROM m UNION ALL SELECT client, op, 'body', '', '' FROM m WHERE method = 'POST'
   UNION ALL SELECT who, op, 'path', field, '' FROM f WHERE part LIKE 'request%' UNION ALL SELECT who, op, 'type', field, type FROM f WHERE part LIKE 'request%' UNION ALL SELECT who, op, 'value', field, val FROM f WHERE val IS NOT NULL)
