@@ -18,6 +18,8 @@ A kit has
   possible(sketches a, sketches b, key): the same for all pairs of both.
 """
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +29,17 @@ from . import common, components
 GROUP, BLOCK, PAIRS = 256, 256, 16384
 
 
-def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit) -> DataFrame:
-    """Rows (id, component) of what is linked; members: (key, id, hub, n) of buckets of n, texts: (id, text), sketches: (id, sketch)."""
-    members = common.stored(near_members(members, sketches, kit), "near_members")
-    common.settled(members.sparkSession)
+def components_of(members: DataFrame, texts: DataFrame, sketches: DataFrame, kit, slices: int = 1) -> DataFrame:
+    """Rows (id, component) of what is linked; members: (key, id, hub, n) of buckets of n, texts: (id, text), sketches: (id, sketch).
+
+    Members get their sketches in so many slices of whole buckets, one after the other, as these rows are the most that is on disk at once.
+    """
+    found = []
+    for s in range(slices):
+        part = members.where(F.pmod(F.xxhash64("key"), slices) == s) if slices > 1 else members
+        found.append(common.stored(near_members(part, sketches, kit), "near_members"))
+        common.settled(members.sparkSession)
+    members = functools.reduce(DataFrame.union, found)
     pairs = common.stored(members.where("to_hub").select("id", "hub").distinct(), "hub_pairs")
     first = common.stored(hub_links(pairs, texts, kit), "hub_links")
     common.settled(members.sparkSession)
