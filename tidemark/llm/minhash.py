@@ -237,7 +237,7 @@ class ShingleKit:
         n = int(np.count_nonzero(both[1:] == both[:-1]))
         return 100 * n >= self.percent * (small + large - n)
 
-    def near(self, sets, others):
+    def near(self, sets, others, key: int | None = None):
         return linked(sets, others, self.percent)
 
     def can(self, a: list[bytes], b: list[bytes], keys: list[int | None]) -> np.ndarray:

@@ -12,7 +12,7 @@ bucket that is done, and no link that joins two parts of a bucket is lost.
 A kit has
   prepare(texts as bytes): what is compared, one for each text,
   decide(pairs of these): mask of those that are linked,
-  near(a's, b's or None): places (i, j) of pairs that can be linked, for decide(),
+  near(a's, b's or None, key): places (i, j) of pairs that can be linked, for decide(); pairs that another bucket shows can be left out,
   can(sketches a, sketches b, keys): which of these pairs can be linked, where the bucket
   `key` of each is to show them; key None: whichever shows them,
   possible(sketches a, sketches b, key): the same for all pairs of both.
@@ -253,25 +253,39 @@ def _block_links(kit):
     def run(batches):
         import pyarrow as pa
 
-        ids, pairs = [], []
+        ids, ends, pairs = [], [], []
+        above: dict[int, int] = {}  # components that this task has linked so far
+
+        def root(c):
+            while c in above:
+                c = above[c]
+            return c
 
         def out():
-            found = np.array(ids, np.int64)[kit.decide(pairs)]
-            ids.clear()
-            pairs.clear()
+            linked = kit.decide(pairs)
+            found = np.array(ids, np.int64)[linked]
+            for k in np.flatnonzero(linked).tolist():
+                low, high = sorted(map(root, ends[k]))
+                if low != high:
+                    above[high] = low
+            for c in list(above):
+                above[c] = root(c)
+            for x in (ids, ends, pairs):
+                x.clear()
             x, roots = components.forest(found[:, 0], found[:, 1]) if len(found) else (np.zeros(0, np.int64),) * 2
             keep = x != roots
             return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(roots[keep])], names=["a", "b"])
 
-        for _, i, j, rows in _cells((b.set_column(b.schema.get_field_index("text"), "text", b.column("text").cast(pa.binary())) for b in batches), "text"):
+        for key, i, j, rows in _cells((b.set_column(b.schema.get_field_index("text"), "text", b.column("text").cast(pa.binary())) for b in batches), "text"):
             a, b = _sides(i, j, rows)
             c = a if b is None else b
             if not a or not c:
                 continue
             left, right = kit.prepare([r[3] for r in a]), None if b is None else kit.prepare([r[3] for r in b])
-            for x, y in zip(*(v.tolist() for v in kit.near(left, right)), strict=True):
-                if a[x][1] != c[y][1]:
+            for x, y in zip(*(v.tolist() for v in kit.near(left, right, key)), strict=True):
+                if root(a[x][1]) != root(c[y][1]):
                     ids.append((a[x][2], c[y][2]))
+                    ends.append((a[x][1], c[y][1]))
                     pairs.append((left[x], (right or left)[y]))
                     if len(pairs) >= PAIRS:
                         yield out()
