@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..sources.openapi import Spec
 from .report import by_construct, unsupported
 
@@ -20,7 +21,7 @@ def operation_details(declared: DataFrame, operations: DataFrame, responses: Dat
     """Of each operation its answers and its declared fields by part and status, in order of paths; `by` may name the document as well."""
     fields = declared.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "status", "field", "types", "required", "enum", "open"))).alias("fields"))
     answers = responses.groupBy(*by).agg(F.sort_array(F.collect_set("answer")).alias("answers"))
-    return operations.join(answers, [*by], "left").join(fields, [*by], "left")
+    return operations.join(shared.apart(answers), [*by], "left").join(shared.apart(fields), [*by], "left")
 
 
 def write_bundle(path: str, **tables: DataFrame) -> None:
