@@ -162,9 +162,14 @@ class Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.chunk, self.ranges = int(options["chunk"]), json.loads(options["ranges"])
+        self.chunk, self.ranges, self.dealt = int(options["chunk"]), json.loads(options["ranges"]), False
+
+    def __getstate__(self):
+        """What goes to each task: once ranges are dealt, a task has its own and not all of them."""
+        return self.__dict__ | {"ranges": []} if self.dealt else self.__dict__
 
     def partitions(self):
+        self.dealt = True
         return [Range(*r) for r in self.ranges]
 
     def read(self, p):
